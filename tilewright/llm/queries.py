@@ -6,8 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import exact_dedup, mixing
-from tilewright.llm.common import table
+from tilewright.llm import exact_dedup, html_extract, jaccard_join, language_id, mixing, token_counts, toxicity, url_filter, warc
+from tilewright.llm.common import crc_mod, table
+
+#: The rules of the URL filter, as (verdict, host/path prefix).
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = crc_mod("doc_id", 3) == 1
+    net = language_id.fit_on(docs.filter(~held_out))
+    return language_id.identify(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = jaccard_join.join(table(spark, sf_dir, "documents"), words=4, percent=85)
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), str(public_tokenizers.path("byte_bpe_50k.json")), limit=1024)
+
+
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"), least=0)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc_mod("doc_id", 5) == 0
+    model = toxicity.fit_on(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    return toxicity.score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    urls = url_filter.sampled_urls(pages)
+    trees = url_filter.fit_trees(urls, [url_filter.word_label(u) for u in urls])
+    return url_filter.judge(pages, URL_RULES, trees)
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +62,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_jaccard_join": op2_jaccard_join,
+    "op3_token_counts": op3_token_counts,
+    "op4_main_text": op4_main_text,
+    "op5_warc_index": op5_warc_index,
+    "op7_toxicity": op7_toxicity,
+    "op8_url_filter": op8_url_filter,
     "op9_source_mixing": op9_source_mixing,
     "op10_exact_dedup": op10_exact_dedup,
 }
@@ -57,9 +107,9 @@ WITH d AS (
          floor(w / sum(w) OVER () * seats + w / sum(w) OVER () * count(*) OVER () / 2 + 2)::BIGINT AS high
   FROM t WHERE NOT is_full
 ), q2 AS (SELECT *, seats - sum(low) OVER () AS open FROM q1
-), q3 AS (SELECT rank, low, open, row_number() OVER (ORDER BY w / (2.0::DOUBLE * k + 1) DESC, rank) AS at
+), q3 AS (SELECT rank, low, open, row_number() OVER (ORDER BY w / (2.0::DOUBLE * k + 1) DESC, rank) AS pos
           FROM (SELECT *, unnest(range(low, high + 1)) AS k FROM q2)
-), q AS (SELECT rank, (max(low) + count(*) FILTER (WHERE at <= open))::BIGINT AS quota FROM q3 GROUP BY rank
+), q AS (SELECT rank, (max(low) + count(*) FILTER (WHERE pos <= open))::BIGINT AS quota FROM q3 GROUP BY rank
 ), p AS (
   SELECT d.doc_id, d.size, t.*, q.quota, md5('7:' || d.doc_id) AS key,
          ('0x' || md5('7:' || d.doc_id)[1:7])::BIGINT % n_shards AS shard
@@ -70,9 +120,9 @@ WITH d AS (
 ), h2 AS (
   SELECT *, greatest(0, floor(share * quota - share * n / 2 - 1))::BIGINT AS low, floor(share * quota + share * n / 2 + 2)::BIGINT AS high FROM h1
 ), h3 AS (SELECT *, quota - sum(low) OVER (PARTITION BY rank) AS open FROM h2
-), h4 AS (SELECT rank, shard, low, open, row_number() OVER (PARTITION BY rank ORDER BY shard_size / (2.0::DOUBLE * k + 1) DESC, shard) AS at
+), h4 AS (SELECT rank, shard, low, open, row_number() OVER (PARTITION BY rank ORDER BY shard_size / (2.0::DOUBLE * k + 1) DESC, shard) AS pos
           FROM (SELECT *, unnest(range(low, high + 1)) AS k FROM h3)
-), hq AS (SELECT rank, shard, (max(low) + count(*) FILTER (WHERE at <= open))::BIGINT AS blocks FROM h4 GROUP BY rank, shard
+), hq AS (SELECT rank, shard, (max(low) + count(*) FILTER (WHERE pos <= open))::BIGINT AS blocks FROM h4 GROUP BY rank, shard
 ), e AS (
   SELECT *, sum(size) OVER (PARTITION BY rank, shard ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS e_end,
          sum(size) OVER (PARTITION BY rank, shard)::BIGINT AS shard_size FROM p
@@ -88,4 +138,30 @@ SELECT doc_id, source, size, source_size, target,
 FROM g
 """
 
-ORACLES: dict[str, str] = {"op9_source_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - 3) + 1)) AS i FROM w WHERE len(ws) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2
+), l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)
+), r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.b) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN r ON r.a = w.doc_id GROUP BY w.doc_id, n.n
+"""
+
+OP5_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages
+), h AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS h, sha256(b) AS k FROM p
+), f AS (SELECT k, min(page_id) AS first FROM h GROUP BY k)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[
+         (((('0x' || h[(i // 4) * 5 + 1:(i // 4) * 5 + 5])::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::INT]), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM h JOIN f USING (k)
+"""
+
+ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op5_warc_index": OP5_SQL, "op9_source_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL}
