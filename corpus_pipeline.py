@@ -1,15 +1,64 @@
-"""The corpus pipeline; its stages are filled in as the operators land."""
+"""The corpus pipeline: five stages over ``documents``, each on all that the one before kept.
+
+1. toxicity: documents that the classifier rejects go;
+2. exact_dedup: of equal texts the row with the smallest doc_id stays;
+3. near_dedup: the n-gram Jaccard join (five words, 0.8); of each group one document stays;
+4. decontaminate: documents that hold a benchmark passage go;
+5. mix: the rest is mixed to target weights; returns the mix's table.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tilewright.llm import decontaminate, exact_dedup, jaccard_join, mixing, toxicity
+from tilewright.llm.common import scratch, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.fit_on(docs, table(spark, sf_dir, "labels"))
+    return toxicity.keep_civil(docs, model)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    joined = jaccard_join.join(docs, words=5, percent=80)
+    kept = joined.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontaminate", drop_contaminated),
+    ("mix", mix_sources),
+]
 
-STAGES: list = []
+#: A trained classifier and an LSH search decide; the tests hold run() against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages; each result is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    root = scratch(spark, "pipeline")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
+        docs = spark.read.parquet(f"{root}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

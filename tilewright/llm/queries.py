@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.llm import exact_dedup, html_extract, jaccard_join, language_id, mixing, token_counts, toxicity, url_filter, warc
+from tilewright.llm import decontaminate, exact_dedup, html_extract, jaccard_join, language_id, mixing, token_counts, toxicity, url_filter, warc
 from tilewright.llm.common import crc_mod, table
 
 #: The rules of the URL filter, as (verdict, host/path prefix).
@@ -39,6 +39,10 @@ def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"), least=0)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_mod("doc_id", 5) == 0
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_main_text": op4_main_text,
     "op5_warc_index": op5_warc_index,
+    "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op8_url_filter": op8_url_filter,
     "op9_source_mixing": op9_source_mixing,

@@ -1,6 +1,7 @@
 """Toxicity classifier with a counterfactual penalty.
 
-A logistic model over the distinct words of a text.  Beside the labelled loss
+A logistic model over the distinct words of a text and their first letters (four
+to six of them, so that endings don't hide a stem).  Beside the labelled loss
 it is charged for every change of score between a labelled sentence and the
 same sentence with an identity term put in another's place (or, where the
 sentence names no group, with and without a mention).  Terms that only name a
@@ -21,7 +22,7 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -46,13 +47,21 @@ def words_of(text: str | None) -> set[str]:
     return set(WORDS.findall((text or "").lower()))
 
 
+def features(words: Iterable[str]) -> set[str]:
+    """The words and, marked by a hyphen, their beginnings."""
+    found = set(words)
+    for n in (4, 5, 6):
+        found |= {w[:n] + "-" for w in words if len(w) > n}
+    return found
+
+
 @dataclass
 class ToxicityModel:
     bias: float = -20.0
     weights: dict[str, float] = field(default_factory=dict)
 
     def score(self, words: set[str]) -> float:
-        z = self.bias + math.fsum(sorted(self.weights[w] for w in self.weights.keys() & words))
+        z = self.bias + math.fsum(self.weights[w] for w in self.weights.keys() & features(words))
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
@@ -68,30 +77,36 @@ def counterfactuals(examples: list[list[str]], terms: list[str], bound: int, see
     return pairs
 
 
-def fit(examples: list[list[str]], labels: list[int], *, terms: list[str] = IDENTITY_TERMS, penalty: float = 4.0, l1: float = 2e-4, l2: float = 1e-4, rounds: int = 400, pairs: int = 4000, seed: int = 7) -> ToxicityModel:
+def fit(examples: list[list[str]], labels: list[int], *, terms: list[str] = IDENTITY_TERMS, penalty: float = 4.0, l1: float = 1e-3, l2: float = 1e-4, rounds: int = 400, pairs: int = 4000, seed: int = 7) -> ToxicityModel:
     """Proximal gradient with momentum on word columns scaled by their log ratio."""
     y = np.array(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return ToxicityModel()
     n, positive = len(y), y.sum()
     df: dict[str, list[int]] = {}
-    for words, label in zip(examples, labels, strict=True):
-        for w in set(words):
+    sets = [features(words) for words in examples]
+    for found, label in zip(sets, labels, strict=True):
+        for w in found:
             df.setdefault(w, [0, 0])[label] += 1
-    least = max(3, round(0.005 * n))
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w, (a, b) in df.items() if a + b >= least))}
-    if not vocabulary:
+    least = max(3, round(0.003 * n))
+    log_ratio = lambda c: math.log((c[1] + 0.5) / (positive + 1)) - math.log((c[0] + 0.5) / (n - positive + 1))
+    # a feature as common in either class tells nothing
+    ratios = {w: r for w, c in df.items() if sum(c) >= least and abs(r := log_ratio(c)) >= 0.25}
+    named = {f for t in terms for f in features([t])}
+    ratios |= {w: log_ratio(df[w]) for w in named & df.keys()}
+    if not ratios:
         return ToxicityModel()
-    counts = np.array([df[w] for w in vocabulary], dtype=np.float64)
-    ratio = np.log((counts[:, 1] + 0.5) / (positive + 1)) - np.log((counts[:, 0] + 0.5) / (n - positive + 1))
-    scale = np.clip(np.abs(ratio), 0.01, 4.0)
-    rows = np.concatenate([np.full(sum(w in vocabulary for w in set(ws)), k) for k, ws in enumerate(examples)])
-    cols = np.concatenate([np.array(sorted(vocabulary[w] for w in set(ws) if w in vocabulary), dtype=np.int64) for ws in examples])
+    vocabulary = {w: i for i, w in enumerate(sorted(ratios))}
+    scale = np.clip(np.abs(np.array([ratios[w] for w in vocabulary])), 0.01, 4.0)
+    held = [sorted(vocabulary[w] for w in found if w in vocabulary) for found in sets]
+    rows = np.repeat(np.arange(n), [len(x) for x in held])
+    cols = np.array([i for x in held for i in x], dtype=np.int64)
     values = scale[cols]
-    swaps = [(vocabulary.get(a) if a else None, vocabulary.get(b)) for a, b in counterfactuals(examples, list(terms), pairs, seed)]
-    out = np.array([-1 if a is None else a for a, _ in swaps], dtype=np.int64)
-    into = np.array([-1 if b is None else b for _, b in swaps], dtype=np.int64)
-    padded = np.append(scale, 0.0)
+    swaps = counterfactuals(examples, list(terms), pairs, seed)
+    signed = [(k, vocabulary[f], sign) for k, (a, b) in enumerate(swaps) for t, sign in ((a, -1.0), (b, 1.0)) if t for f in features([t]) if f in vocabulary]
+    swap_row = np.array([k for k, _, _ in signed], dtype=np.int64)
+    swap_col = np.array([c for _, c, _ in signed], dtype=np.int64)
+    swap_value = np.array([v for _, _, v in signed]) * scale[swap_col] if signed else np.zeros(0)
 
     def times(w: np.ndarray) -> np.ndarray:
         return np.bincount(rows, weights=values * w[cols], minlength=n)
@@ -101,11 +116,8 @@ def fit(examples: list[list[str]], labels: list[int], *, terms: list[str] = IDEN
 
     def unfair(w: np.ndarray) -> np.ndarray:
         """Gradient of the mean squared change of score over the swaps."""
-        x = np.append(w, 0.0) * padded
-        change = x[into] - x[out]
-        grad = np.bincount(into % (len(scale) + 1), weights=change * padded[into], minlength=len(scale) + 1)
-        grad -= np.bincount(out % (len(scale) + 1), weights=change * padded[out], minlength=len(scale) + 1)
-        return grad[:-1] / max(1, len(swaps))
+        change = np.bincount(swap_row, weights=swap_value * w[swap_col], minlength=max(1, len(swaps)))
+        return np.bincount(swap_col, weights=swap_value * change[swap_row], minlength=len(scale)) / max(1, len(swaps))
 
     probe = np.ones(len(scale))
     for _ in range(12):  # the largest curvature, by power iteration
@@ -160,7 +172,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, OUT)
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, *, sample: int = 3000, seed: int = 7, **options) -> ToxicityModel:
+def fit_on(docs: DataFrame, labels: DataFrame, *, sample: int = 2000, seed: int = 7, **options) -> ToxicityModel:
     """docs: doc_id, text; labels: doc_id, toxic, already limited to the rows to learn from."""
     wanted = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     # the sample is drawn on (doc_id, label) before any text is joined
@@ -173,3 +185,15 @@ def fit_on(docs: DataFrame, labels: DataFrame, *, sample: int = 3000, seed: int
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")  # 2 * sample ids
     examples, y = sampled(texts, sample, seed)
     return fit(examples, y, seed=seed, **options)
+
+
+def keep_civil(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below 0.5, all columns as they are."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [model.score(words_of(t)) < 0.5 for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
