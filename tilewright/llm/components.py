@@ -20,18 +20,21 @@ def components(edges: DataFrame) -> DataFrame:
     """
     tidy = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = cut(tidy.distinct())
-    previous = None
-    while True:
+    while not stars_only(now):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        hung = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = hung.distinct()  # (larger neighbour, smallest of the centre)
+        # (larger neighbour, smallest of the centre)
+        large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         now = cut(small.filter(F.col("a") != F.col("b")).distinct())
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if mark == previous:
-            break
-        previous = mark
     leaves = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     return leaves.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def stars_only(edges: DataFrame) -> bool:
+    """No node hangs on two others, or hangs and bears others."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(edges.select(F.col("b").alias("node"), F.lit(0), F.lit(1)))
+    seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return seen.filter((F.col("up") > 1) | (F.col("up") == 1) & (F.col("down") == 1)).isEmpty()

@@ -13,17 +13,19 @@ least ``percent`` * |A or B|, which bounds |A xor B| by a share of |A| + |B|.
    e spare ones an equal word that isn't empty remains.  A set with more empty
    words is dealt anew with other hashes, as often as it takes up to
    ``LEVELS``; beyond that its empty words count too.
-3. Classes that share a word form runs; equal runs are kept once.  Runs that
-   hang together form a group, a big one is left as its runs, and a group of
-   more than ``BLOCK`` classes is compared in pairs of blocks, each a task's
-   work in bounded memory.  No table of candidate pairs exists.
+3. Classes that share a word form runs; equal runs are kept once.  A run goes to
+   its anchor, the member that is in most runs, so the many runs of a group of
+   near copies go to a few anchors, each class once to each; classes of one
+   anchor are compared together, those of a large one in pairs of blocks of
+   ``BLOCK`` classes, each a task's work in bounded memory.  No table of
+   candidate pairs exists.
 4. In a task one-bit parity sketches are compared first: their Hamming distance
    is at most |A xor B|.  What remains is verified on the full sets, unless
    links already found connect the two.
 5. The links, at most one a class in each comparison, give the components.
 
-So a group of n similar texts costs n rows, or n / BLOCK times as many when it
-is large, and loses no link that would change a component.
+So a group of n similar texts costs n rows for each anchor, n / BLOCK times as
+many when it is large, and loses no link that would change a component.
 
 Edge cases: null and empty texts and texts of white space have no shingle and
 stand alone; a text with fewer words than a shingle is one shingle; rows
@@ -45,9 +47,7 @@ from tilewright.llm.common import cut
 from tilewright.llm.components import components
 
 LEVELS = 6
-BLOCK = 192
-#: Groups of hanging runs up to this many classes are compared as one group.
-GROUP = 20_000
+BLOCK = 800
 SKETCH_WORDS = 32
 U = np.uint64
 MASK = (1 << 64) - 1
@@ -176,7 +176,7 @@ def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def compare(ids: list[int], sets: list[np.ndarray], sides: list[int], percent: int) -> list[tuple[int, int]]:
-    """Links between the members, enough of them to connect what links connect.
+    """(member, smallest member of its component) for the components that links make.
 
     sides: 0 and 1 for two blocks, of which only pairs across are wanted; all 0
     within one block.
@@ -189,11 +189,12 @@ def compare(ids: list[int], sets: list[np.ndarray], sides: list[int], percent: i
             x = parent[x]
         return x
 
+    order = sorted(range(len(ids)), key=ids.__getitem__)  # a root is its component's smallest id
+    ids, sets, sides = [ids[k] for k in order], [sets[k] for k in order], [sides[k] for k in order]
     size = np.array([len(s) for s in sets])
     sketch = np.stack([parity_sketch(s) for s in sets])
     side = np.array(sides)
     across = bool(side.any())
-    found = []
     for i in range(len(ids) - 1):
         j = np.arange(i + 1, len(ids))
         if across:
@@ -207,9 +208,9 @@ def compare(ids: list[int], sets: list[np.ndarray], sides: list[int], percent: i
         j = j[np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1) <= bound]
         for k in j.tolist():
             if find(i) != find(k) and links(sets[i], sets[k], percent):
-                parent[find(k)] = find(i)
-                found.append((ids[i], ids[k]))
-    return found
+                low, high = sorted((find(i), find(k)))
+                parent[high] = low
+    return [(ids[k], ids[find(k)]) for k in range(len(ids)) if find(k) != k]
 
 
 def classes(docs: DataFrame, words: int) -> DataFrame:
@@ -294,23 +295,20 @@ def runs(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def found_links(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): links between class representatives, enough to connect all that links connect."""
+    """(a, b): class representatives that links connect, enough to connect all that they do."""
     spark = docs.sparkSession
     met = runs(docs, words, percent).join(members.select("doc_id", "rep"), "doc_id").select("run", F.col("rep").alias("doc_id"))
     met = cut(met.distinct())
-    least = met.groupBy("run").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    stars = cut(met.join(least, "run").select("run", "doc_id", "first"))
-    group_of = components(stars.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
-    size_of = group_of.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    large = size_of.filter(F.col("size") > GROUP)
-    whole = group_of.join(size_of.filter(F.col("size") <= GROUP), "component").select(F.col("component").alias("grp"), F.lit(0).alias("kind"), F.col("node").alias("doc_id"))
-    split = stars.join(group_of.join(large, "component").select(F.col("node").alias("doc_id")), "doc_id").select(F.col("run").alias("grp"), F.lit(1).alias("kind"), "doc_id").distinct()
-    grouped = cut(whole.union(split))
-    n_blocks = grouped.groupBy("grp", "kind").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = grouped.join(n_blocks, ["grp", "kind"]).withColumn("own", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
+    busy = met.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_runs"))
+    ranked = met.join(busy, "doc_id")
+    best = F.max(F.struct(F.col("n_runs"), (-F.col("doc_id")).alias("minus")))
+    anchor = ranked.groupBy("run").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("run", (-F.col("best.minus")).alias("grp"))
+    grouped = cut(met.join(anchor, "run").select("grp", "doc_id").distinct())
+    n_blocks = grouped.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = grouped.join(n_blocks, "grp").withColumn("own", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
     # a block meets itself and every other of its group
     pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    work = pairs.select("grp", "kind", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id")
+    work = pairs.select("grp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple | None = None
@@ -329,11 +327,11 @@ def found_links(docs: DataFrame, members: DataFrame, words: int, percent: int) -
                     at, ids, sets, sides = tuple(key), [], [], []
                 ids.append(doc_id)
                 sets.append(shingle_set(text, words))
-                sides.append(side if key[2] != key[3] else 0)
+                sides.append(side if key[1] != key[2] else 0)
         yield from close()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = ["grp", "kind", "x", "y"]
+    key = ["grp", "x", "y"]
     with_text = work.join(docs, "doc_id").select(*key, "side", "doc_id", "text")
     ordered = with_text.repartitionByRange(parts, *key).sortWithinPartitions(*key)
     return cut(ordered.mapInArrow(check, "a long, b long"))
