@@ -1,10 +1,6 @@
 """The queries on the driver's tables, by name, and their oracles."""
 
-from __future__ import annotations
+from tilewright.plans import elements  # noqa: F401
+from tilewright.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
