@@ -218,14 +218,17 @@ def fit_on(docs: DataFrame, *, sample: int = 150, segments_each: int = 24, seed:
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     rows, targets = [], []
-    for k, lang in enumerate(languages):
-        of = known.filter(F.col("lang") == lang).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
-        for r in of.select("text").collect():
-            x = segments(r["text"].encode())
-            if len(x):
-                x = x[np.unique(np.linspace(0, len(x) - 1, min(len(x), segments_each)).astype(int))]
-                rows.append(x)
-                targets.append(np.full(len(x), k))
+    drawn = None
+    for lang in languages:  # ids first, so that only the sample's texts travel
+        part = known.filter(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
+        drawn = part if drawn is None else drawn.union(part)
+    texts = known.join(F.broadcast(drawn.distinct()), "doc_id").select("doc_id", "lang", "text") if languages else known.limit(0)  # sample ids a language
+    for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["doc_id"], r["text"])):
+        x = segments(r["text"].encode())
+        if len(x):
+            x = x[np.unique(np.linspace(0, len(x) - 1, min(len(x), segments_each)).astype(int))]
+            rows.append(x)
+            targets.append(np.full(len(x), languages.index(r["lang"])))
     if not rows:
         return train(np.zeros((0, SEGMENT), np.int16), np.zeros(0, np.int64), languages, seed=seed, **options)
     x, y = np.concatenate(rows), np.concatenate(targets)
