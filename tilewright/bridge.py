@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilewright import schema as S
+from tilewright.functions.tags import literal
 
 
 def _cases() -> tuple[list[str], list[str]]:
@@ -35,8 +36,8 @@ NODE_CASES, WAY_CASES = _cases()
 
 def _case(key: Column, cases: list[str]) -> Column:
     """Tags of case key % n, as a map; the cases are a constant of the query."""
-    text = F.element_at(F.array(*[F.lit(c) for c in cases]), (key % len(cases) + 1).cast("int"))
-    return F.expr("str_to_map(_case, '[|]', '=')") if False else F.str_to_map(text, F.lit("[|]"), F.lit("="))
+    listed = F.expr(f"array({', '.join(map(literal, cases))})")
+    return F.str_to_map(F.element_at(listed, (key % len(cases) + 1).cast("int")), F.lit("[|]"), F.lit("="))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tilewright.schema import BRIDGES, TUNNELS
+from tilewright.schema import BRIDGES, RAIL, TUNNELS
 
 
 def tag(key: str, tags: str = "tags") -> Column:
@@ -20,35 +20,44 @@ def has(key: str) -> Column:
 
 
 def is_any(key: str, values: Sequence[str]) -> Column:
-    return F.coalesce(tag(key).isin(*values), F.lit(False))
+    return F.expr(f"coalesce({any_of(f'tags[{literal(key)}]', values)}, false)")
 
 
 def non_empty(key: str) -> Column:
     return F.nullif(tag(key), F.lit(""))
 
 
-def first_match(rows: Sequence[tuple], result: int) -> Column:
+def literal(value: object) -> str:
+    """A value as SQL text."""
+    if value is None:
+        return "NULL"
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(value, str) else str(value)
+
+
+def any_of(sql: str, values: Sequence[str]) -> str:
+    return f"{sql} IN ({', '.join(map(literal, values))})"
+
+
+def first_match(rows: Sequence[tuple], result: int, tags: str = "tags") -> Column:
     """Element ``result`` of the first (key, value, ...) row that fits; null if none.
 
-    An unlisted value of an earlier key doesn't block a later row.
+    An unlisted value of an earlier key doesn't block a later row.  The long
+    lists go to the parser as one text, not literal by literal.
     """
     groups: dict[tuple[str, object], list[str]] = {}  # rows of one key stand together
     for row in rows:
-        groups.setdefault((row[0], "own" if row[result] == row[1] else row[result]), []).append(row[1])
-    found = None
+        groups.setdefault((row[0], None if row[result] == row[1] else row[result]), []).append(row[1])
+    branches = []
     for (key, value), listed in groups.items():
-        fits, then = tag(key).isin(*listed), tag(key) if value == "own" else F.lit(value)
-        found = F.when(fits, then) if found is None else found.when(fits, then)
-    return found
+        own = f"{tags}[{literal(key)}]"
+        branches.append(f"WHEN {any_of(own, listed)} THEN {own if value is None else literal(value)}")
+    return F.expr(f"CASE {' '.join(branches)} END")
 
 
-def pick(value: Column, groups: dict, default=None) -> Column:
-    """Key of the group that lists the value."""
-    found = None
-    for result, values in groups.items():
-        fits = value.isin(*values)
-        found = F.when(fits, F.lit(result)) if found is None else found.when(fits, F.lit(result))
-    return found.otherwise(F.lit(default))
+def pick(sql: str, groups: dict, default=None) -> Column:
+    """Key of the group that lists the value of a SQL expression."""
+    branches = " ".join(f"WHEN {any_of(sql, values)} THEN {literal(result)}" for result, values in groups.items())
+    return F.expr(f"CASE {branches} ELSE {literal(default)} END")
 
 
 def named() -> Column:
@@ -63,6 +72,10 @@ def is_bridge() -> Column:
     return is_any("bridge", BRIDGES)
 
 
+def is_rail() -> Column:
+    return F.expr(any_of("_street", RAIL))
+
+
 def decimal(token: Column) -> Column:
     """A decimal number with the comma policy: grouping, unless one comma is the point."""
     t = F.trim(token)

@@ -7,6 +7,8 @@ exploded.  No rule is evaluated for a kind that its layer doesn't take.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,39 +49,51 @@ def land_kind() -> Column:
 
 def poi_category() -> tuple[Column, Column]:
     """(category key, value) of the first category that fits."""
-    category = value = None
-    for key, values in S.POIS.items():
-        fits = T.tag(key).isin(*values)
-        as_key, as_value = ("natural", F.lit("pass")) if key == "mountain_pass" else (key, T.tag(key))
-        category = F.when(fits, F.lit(as_key)) if category is None else category.when(fits, F.lit(as_key))
-        value = F.when(fits, as_value) if value is None else value.when(fits, as_value)
-    return category, value
+    whens = {k: T.any_of(f"tags['{k}']", values) for k, values in S.POIS.items()}
+    category = " ".join(f"WHEN {w} THEN '{'natural' if k == 'mountain_pass' else k}'" for k, w in whens.items())
+    value = " ".join(f"WHEN {w} THEN " + ("'pass'" if k == "mountain_pass" else f"tags['{k}']") for k, w in whens.items())
+    return F.expr(f"CASE {category} END"), F.expr(f"CASE {value} END")
 
 
 def street_rank(kind: Column, link: Column | bool) -> Column:
-    cls = F.array_position(F.array(*[F.lit(c) for c in S.STREET_CLASSES]), kind) - 1
-    level = F.when(T.is_tunnel(), 0).when(T.is_bridge(), 2).otherwise(1)
+    cls = F.array_position(F.expr(f"array({', '.join(map(T.literal, S.STREET_CLASSES))})"), kind) - 1
+    level = F.when(F.col("_tunnel"), 0).when(F.col("_bridge"), 2).otherwise(1)
     return cls * 6 + level * 2 + (F.when(link, 0).otherwise(1) if isinstance(link, Column) else F.lit(0 if link else 1))
 
 
+def shared_columns(kind: str) -> dict[str, Column]:
+    """Values that several rules use, computed once for each element."""
+    category, value = poi_category()
+    out = {"_poi": category, "_poi_value": value}
+    if kind != "node":
+        out |= {"_water": T.first_match(S.WATER, 2), "_land": land_kind(), "_street": T.first_match([(k, v, v) for k, v, _, _ in S.STREETS], 2), "_area": T.first_match(S.STREET_POLYGONS, 2), "_tunnel": T.is_tunnel(), "_bridge": T.is_bridge()}
+    return out
+
+
+@cache
 def rules(kind: str) -> dict[str, Column]:
-    """The match column of every layer that takes a geometry kind."""
+    """The match column of every layer that takes a geometry kind, on ``shared_columns``."""
+    takes = {x.name for x in S.LAYERS if KINDS[kind] in x.kinds}
     tag, has = T.tag, T.has
-    tunnel, bridge, named = T.is_tunnel(), T.is_bridge(), T.named()
+    tunnel, bridge, named = F.col("_tunnel"), F.col("_bridge"), T.named()
     flags = [when_true("tunnel", tunnel), when_true("bridge", bridge)]
     out: dict[str, Column] = {}
 
-    water, water_zoom = T.first_match(S.WATER, 2), T.first_match(S.WATER, 3)
-    out["water_polygons"] = match("water_polygons", water.isNotNull(), water_zoom, water)
-    out["water_polygons_labels"] = match("water_polygons_labels", water.isNotNull() & named, 14, water, names(), geom="label")
-    line = F.when(tag("waterway").isin(*[w for w, _, _ in S.WATER_LINES]), tag("waterway"))
-    by_zoom = lambda column: T.pick(line, {z: [w[0] for w in S.WATER_LINES if w[column] == z] for z in sorted({w[column] for w in S.WATER_LINES})})
-    out["water_lines"] = match("water_lines", line.isNotNull(), by_zoom(1), line, flags)
-    out["water_lines_labels"] = match("water_lines_labels", line.isNotNull() & named, by_zoom(2), line, flags + names())
-    for name in ("dam_lines", "dam_polygons"):
+    water, water_zoom = F.col("_water"), T.first_match(S.WATER, 3)
+    if "water_polygons" in takes:
+        out["water_polygons"] = match("water_polygons", water.isNotNull(), water_zoom, water)
+    if "water_polygons_labels" in takes:
+        out["water_polygons_labels"] = match("water_polygons_labels", water.isNotNull() & named, 14, water, names(), geom="label")
+    line = T.first_match([("waterway", w, w) for w, _, _ in S.WATER_LINES], 2)
+    by_zoom = lambda column: T.pick("tags['waterway']", {z: [w[0] for w in S.WATER_LINES if w[column] == z] for z in sorted({w[column] for w in S.WATER_LINES})})
+    if "water_lines" in takes:
+        out["water_lines"] = match("water_lines", line.isNotNull(), by_zoom(1), line, flags)
+    if "water_lines_labels" in takes:
+        out["water_lines_labels"] = match("water_lines_labels", line.isNotNull() & named, by_zoom(2), line, flags + names())
+    for name in takes & {"dam_lines", "dam_polygons"}:
         out[name] = match(name, tag("waterway") == "dam", 12, F.lit("dam"))
-    for name in ("pier_lines", "pier_polygons"):
-        out[name] = match(name, tag("man_made").isin(*S.PIERS), 12, tag("man_made"))
+    for name in takes & {"pier_lines", "pier_polygons"}:
+        out[name] = match(name, T.is_any("man_made", S.PIERS), 12, tag("man_made"))
 
     level = F.when(tag("boundary") == "administrative", T.admin_level(tag("admin_level")))
     parent_level = F.col("parent_level") if kind in ("open_way", "closed_way") else F.lit(None).cast("int")
@@ -87,41 +101,47 @@ def rules(kind: str) -> dict[str, Column]:
     line_level = F.least(level, parent_level)
     disputed = parent_disputed | F.coalesce(tag("disputed") == "yes", F.lit(False))
     maritime = F.coalesce(tag("maritime") == "yes", F.lit(False)) | F.coalesce(tag("natural") == "coastline", F.lit(False))
-    out["boundaries"] = match("boundaries", line_level.isNotNull(), F.when(line_level == 2, 0).otherwise(7), None, [attr("admin_level", line_level), attr("maritime", maritime), attr("disputed", disputed)])
-    out["boundary_labels"] = match("boundary_labels", level.isNotNull(), 5, None, [attr("admin_level", level), *names()], geom="label")
+    if "boundaries" in takes:
+        out["boundaries"] = match("boundaries", line_level.isNotNull(), F.when(line_level == 2, 0).otherwise(7), None, [attr("admin_level", line_level), attr("maritime", maritime), attr("disputed", disputed)])
+    if "boundary_labels" in takes:
+        out["boundary_labels"] = match("boundary_labels", level.isNotNull(), 5, None, [attr("admin_level", level), *names()], geom="label")
 
-    place = F.when(tag("place").isin(*[p for p, _, _ in S.PLACES]), tag("place"))
+    place = T.first_match([("place", p, p) for p, _, _ in S.PLACES], 2)
     capital, state = F.coalesce(tag("capital") == "yes", F.lit(False)), F.coalesce(tag("capital") == "4", F.lit(False))
     place_kind = F.when((place == "city") & capital, "capital").when((place == "city") & state, "state_capital").otherwise(place)
-    usual = T.pick(place, {z: [p for p, pz, _ in S.PLACES if pz == z] for z in (6, 7, 10)})
+    usual = T.pick("tags['place']", {z: [p for p, pz, _ in S.PLACES if pz == z] for z in (6, 7, 10)})
     place_zoom = F.when((capital & place.isin(*S.CAPITAL_ZOOM)) | (state & (place == "city")), 4).otherwise(usual)
-    people = F.coalesce(T.strict_int(tag("population")), T.pick(place, {n: [p for p, _, pn in S.PLACES if pn == n] for n in sorted({pn for _, _, pn in S.PLACES})}))
-    out["place_labels"] = match("place_labels", named & place.isNotNull(), place_zoom, place_kind, [attr("population", people), *names()])
+    people = F.coalesce(T.strict_int(tag("population")), T.pick("tags['place']", {n: [p for p, _, pn in S.PLACES if pn == n] for n in sorted({pn for _, _, pn in S.PLACES})}))
+    if "place_labels" in takes:
+        out["place_labels"] = match("place_labels", named & place.isNotNull(), place_zoom, place_kind, [attr("population", people), *names()])
 
-    land = land_kind()
-    land_zoom, land_rank = T.pick(land, S.LAND_ZOOM, 10), T.pick(land, S.LAND_RANK)
+    land = F.col("_land")
+    land_zoom, land_rank = T.pick("_land", S.LAND_ZOOM, 10), T.pick("_land", S.LAND_RANK)
     polygon = match("land", land.isNotNull(), land_zoom, land, rank=land_rank)
     cliff = match("land", tag("natural") == "cliff", 12, F.lit("cliff"), rank=6, geom="line")
     if kind == "open_way":
         out["land"] = cliff
-    else:
+    elif "land" in takes:
         out["land"] = polygon
         if kind == "closed_way":
             out["land_cliff"] = cliff
     site = T.first_match(S.SITES, 2)
-    out["sites"] = match("sites", site.isNotNull(), 14, site)
+    if "sites" in takes:
+        out["sites"] = match("sites", site.isNotNull(), 14, site)
     size = [attr(k, T.length_m(tag(k))) for k in ("height", "min_height")] + [attr("building:levels", T.count(tag("building:levels")))]
-    out["buildings"] = match("buildings", has("building") & (tag("building") != "no"), 14, None, size)
+    if "buildings" in takes:
+        out["buildings"] = match("buildings", has("building") & (tag("building") != "no"), 14, None, size)
 
-    category, value = poi_category()
+    category, value = F.col("_poi"), F.col("_poi_value")
     address = [attr("housename", tag("addr:housename")), attr("housenumber", tag("addr:housenumber"))]
-    out["addresses"] = match("addresses", (has("addr:housenumber") | has("addr:housename")) & category.isNull(), 14, None, address, geom="label")
+    if "addresses" in takes:
+        out["addresses"] = match("addresses", (has("addr:housenumber") | has("addr:housename")) & category.isNull(), 14, None, address, geom="label")
 
-    raw = T.first_match([(k, v, v) for k, v, _, _ in S.STREETS], 2)
+    raw = F.col("_street")
     link = raw.endswith("_link")
     street = F.regexp_replace(raw, "_link$", "")
-    rail = street.isin(*S.RAIL)
-    zoom = T.first_match([(k, v, z) for k, v, z, _ in S.STREETS], 2)
+    rail = T.is_rail()
+    zoom = T.pick("_street", {z: [v for _, v, own, _ in S.STREETS if own == z] for z in sorted({r[2] for r in S.STREETS})})
     zoom = F.when(raw.isin("rail", "narrow_gauge") & F.coalesce(tag("service") != "", F.lit(False)), 8).otherwise(zoom)
     oneway = tag("oneway").isin("yes", "1", "true", "-1")
     street_attrs = [
@@ -134,20 +154,29 @@ def rules(kind: str) -> dict[str, Column]:
         *[attr(k, tag(k), 11) for k in ("tracktype", "surface", "service")],
         *[attr(k, tag(k), 14) for k in ("bicycle", "horse")],
     ]
-    out["streets"] = match("streets", raw.isNotNull(), zoom, street, street_attrs, street_rank(street, link))
-    area = T.first_match(S.STREET_POLYGONS, 2)
-    out["street_polygons"] = match("street_polygons", area.isNotNull(), T.first_match(S.STREET_POLYGONS, 3), area, [when_true("bridge", bridge), when_true("tunnel", tunnel), attr("service", tag("service")), attr("surface", tag("surface"))], street_rank(area, False))
-    label_zoom = T.first_match([(k, v, z) for k, v, _, z in S.STREETS], 2)
+    if "streets" in takes:
+        out["streets"] = match("streets", raw.isNotNull(), zoom, street, street_attrs, street_rank(street, link))
+    area = F.col("_area")
+    if "street_polygons" in takes:
+        out["street_polygons"] = match("street_polygons", area.isNotNull(), T.first_match(S.STREET_POLYGONS, 3), area, [when_true("bridge", bridge), when_true("tunnel", tunnel), attr("service", tag("service")), attr("surface", tag("surface"))], street_rank(area, False))
+    label_zoom = T.pick("_street", {z: [v for _, v, _, own in S.STREETS if own == z] for z in sorted({r[3] for r in S.STREETS})})
     ref = T.ref_lines(tag("ref"))
-    out["street_labels"] = match("street_labels", raw.isNotNull() & (named | has("ref")), label_zoom, raw, [*[attr(k, F.when(has("ref"), v)) for k, v in ref.items()], when_true("tunnel", tunnel), *names()])
-    out["street_labels_points"] = match("street_labels_points", tag("highway") == "motorway_junction", 12, F.lit("motorway_junction"), [attr("ref", tag("ref")), *names()])
+    if "street_labels" in takes:
+        out["street_labels"] = match("street_labels", raw.isNotNull() & (named | has("ref")), label_zoom, raw, [*[attr(k, F.when(has("ref"), v)) for k, v in ref.items()], when_true("tunnel", tunnel), *names()])
+    if "street_labels_points" in takes:
+        out["street_labels_points"] = match("street_labels_points", tag("highway") == "motorway_junction", 12, F.lit("motorway_junction"), [attr("ref", tag("ref")), *names()])
     area_label = T.first_match([(k, v, v) for k, v in S.STREET_POLYGON_LABELS], 2)
-    out["streets_polygons_labels"] = match("streets_polygons_labels", named & area_label.isNotNull(), 14, area_label, names(), geom="label")
-    out["bridges"] = match("bridges", tag("man_made") == "bridge", 12, F.lit("bridge"))
-    out["aerialways"] = match("aerialways", tag("aerialway").isin(*S.AERIALWAYS), 12, tag("aerialway"))
-    out["ferries"] = match("ferries", tag("route") == "ferry", F.when(tag("motor_vehicle") == "no", 12).otherwise(10), F.lit("ferry"), names())
+    if "streets_polygons_labels" in takes:
+        out["streets_polygons_labels"] = match("streets_polygons_labels", named & area_label.isNotNull(), 14, area_label, names(), geom="label")
+    if "bridges" in takes:
+        out["bridges"] = match("bridges", tag("man_made") == "bridge", 12, F.lit("bridge"))
+    if "aerialways" in takes:
+        out["aerialways"] = match("aerialways", T.is_any("aerialway", S.AERIALWAYS), 12, tag("aerialway"))
+    if "ferries" in takes:
+        out["ferries"] = match("ferries", tag("route") == "ferry", F.when(tag("motor_vehicle") == "no", 12).otherwise(10), F.lit("ferry"), names())
     stop = T.first_match(S.PUBLIC_TRANSPORT, 2)
-    out["public_transport"] = match("public_transport", stop.isNotNull(), T.first_match(S.PUBLIC_TRANSPORT, 3), stop, [attr("iata", tag("iata")), *names()], geom="label")
+    if "public_transport" in takes:
+        out["public_transport"] = match("public_transport", stop.isNotNull(), T.first_match(S.PUBLIC_TRANSPORT, 3), stop, [attr("iata", tag("iata")), *names()], geom="label")
 
     is_poi = lambda key, *values: F.coalesce((category == key) & value.isin(*values), F.lit(False))
     recycling = [attr(f"recycling:{k}", F.when(is_poi("amenity", "recycling"), F.coalesce(tag(f"recycling:{k}") == "yes", F.lit(False)))) for k in ("glass_bottles", "paper", "clothes", "scrap_metal")]
@@ -163,9 +192,9 @@ def rules(kind: str) -> dict[str, Column]:
         attr("ele", F.when(category == "natural", T.elevation(tag("ele")))),
     ]
     own = [attr(k, F.when(category == k, value)) for k in S.POIS if k != "mountain_pass"]
-    out["pois"] = match("pois", category.isNotNull(), 14, value, [*own, *names(), *address, *extras], geom="label")
-    takes = {x.name for x in S.LAYERS if KINDS[kind] in x.kinds}
-    return {k: v for k, v in out.items() if k.removesuffix("_cliff") in takes}
+    if "pois" in takes:
+        out["pois"] = match("pois", category.isNotNull(), 14, value, [*own, *names(), *address, *extras], geom="label")
+    return out
 
 
 def classify(elements: DataFrame, kind: str, keep: list[str] = ("id",)) -> DataFrame:
@@ -175,4 +204,5 @@ def classify(elements: DataFrame, kind: str, keep: list[str] = ("id",)) -> DataF
     boundary metadata of relations that a way belongs to (null without).
     """
     found = F.array_compact(F.array(*rules(kind).values()))
-    return elements.select(*keep, F.explode(found).alias("m")).select(*keep, "m.*")
+    told = elements.withColumns(shared_columns(kind))
+    return told.select(*keep, F.explode(found).alias("m")).select(*keep, "m.*")
