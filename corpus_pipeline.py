@@ -5,6 +5,10 @@
 3. near_dedup: the n-gram Jaccard join (five words, 0.8); of each group one document stays;
 4. decontaminate: documents that hold a benchmark passage go;
 5. mix: the rest is mixed to target weights; returns the mix's table.
+
+Edge cases: null texts count as empty (kept as one document by stage 2); rows
+with a null id are kept or dropped together; an empty table stays empty; further
+columns are carried along to the last stage, which returns the mix's own.
 """
 
 from __future__ import annotations
@@ -23,15 +27,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_civil(docs, model)
 
 
+def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id, null included, is among ``ids``."""
+    wanted = ids.select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return with_ids(docs, exact_dedup.exact_dedup(docs).filter("kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     joined = jaccard_join.join(docs, words=5, percent=80)
-    kept = joined.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return with_ids(docs, joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,8 +50,8 @@ def text_or_empty(column: str = "text") -> Column:
 
 
 def crc_mod(doc_id: str, by: int) -> Column:
-    """crc32 of the id's decimal text, modulo ``by``: the folds of the contracts."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(by)
+    """crc32 of the id's decimal text, modulo ``by``: the folds of the contracts; -1 for a null id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(by), F.lit(-1))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

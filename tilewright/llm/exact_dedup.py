@@ -17,7 +17,8 @@ Work is shared out as follows:
 * the index is written to the shared folder, and documents find their entry
   by a join on (hash, SHA-256), whose hot keys Spark's skew handling splits.
 
-Edge cases: null text equals the empty text; equal rows repeated under one id
+Edge cases: null text equals the empty text; a null id stays only where no other
+row has the text; equal rows repeated under one id
 count as so many copies; an empty table gives an empty result; further columns
 of the input are ignored, whatever their names.
 """
@@ -71,6 +72,11 @@ def grow_directory(loads: dict[int, int], max_depth: int, capacity: int) -> tupl
     return depth, directory
 
 
+def smaller(a: int | None, b: int | None) -> int | None:
+    """The smaller id; null comes last."""
+    return b if a is None else a if b is None else min(a, b)
+
+
 def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Equal texts of one split as one row; memory stays under COMBINE_BYTES."""
     held: dict[tuple[int, str], list] = {}
@@ -87,7 +93,7 @@ def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held[h, text] = [bucket, sha, keep, n]
                 size += len(text) + 200
             else:
-                entry[2] = min(entry[2], keep)
+                entry[2] = smaller(entry[2], keep)
                 entry[3] += n
         if size > COMBINE_BYTES:
             yield flush()
@@ -117,7 +123,7 @@ def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at, entries = (bucket, h), []
             for entry in entries:
                 if entry[1] == text:  # the bytes decide, not the hash
-                    entry[2] = min(entry[2], keep)
+                    entry[2] = smaller(entry[2], keep)
                     entry[3] += n
                     break
             else:
@@ -175,4 +181,4 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     keys, index, _ = build_index(docs, id_col=id_col, text_col=text_col, **options)
     found = keys.select("doc_id", "h", "sha").join(index.select("h", "sha", "keep_id", "group_size"), ["h", "sha"])
-    return found.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))

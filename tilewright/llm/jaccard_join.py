@@ -28,8 +28,9 @@ So a group of n similar texts costs n rows for each anchor, n / BLOCK times as
 many when it is large, and loses no link that would change a component.
 
 Edge cases: null and empty texts and texts of white space have no shingle and
-stand alone; a text with fewer words than a shingle is one shingle; rows
-repeated under one id count once; an empty table gives an empty result.
+stand alone; a text with fewer words than a shingle is one shingle; a row with a
+null id takes the class of an equal set and has no other link; rows repeated
+under one id get a row each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -243,7 +244,7 @@ def runs(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 keys, owners = [], []
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     h = shingle_set(text, words)
-                    if not len(h):
+                    if not len(h) or doc_id is None:
                         continue
                     mark = mixed(h).sum(dtype=U).tobytes() + np.bitwise_xor.reduce(h).tobytes()
                     if mark in seen:
@@ -338,7 +339,7 @@ def found_links(docs: DataFrame, members: DataFrame, words: int, percent: int) -
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, class_id, component_id for each different id of ``docs``.
+    """doc_id, n_shingles, class_id, component_id for each row of ``docs``.
 
     class_id: the smallest id with an equal set; component_id: the smallest id
     that links lead to.

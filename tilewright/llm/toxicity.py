@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -83,22 +84,21 @@ def fit(examples: list[list[str]], labels: list[int], *, terms: list[str] = IDEN
     if not len(y) or y.min() == y.max():
         return ToxicityModel()
     n, positive = len(y), y.sum()
-    df: dict[str, list[int]] = {}
-    sets = [features(words) for words in examples]
-    for found, label in zip(sets, labels, strict=True):
-        for w in found:
-            df.setdefault(w, [0, 0])[label] += 1
+    df: tuple[Counter, Counter] = (Counter(), Counter())  # by class; the sets of all examples are never held together
+    for words, label in zip(examples, labels, strict=True):
+        df[label].update(features(words))
     least = max(3, round(0.003 * n))
-    log_ratio = lambda c: math.log((c[1] + 0.5) / (positive + 1)) - math.log((c[0] + 0.5) / (n - positive + 1))
+    log_ratio = lambda w: math.log((df[1][w] + 0.5) / (positive + 1)) - math.log((df[0][w] + 0.5) / (n - positive + 1))
     # a feature as common in either class tells nothing
-    ratios = {w: r for w, c in df.items() if sum(c) >= least and abs(r := log_ratio(c)) >= 0.25}
+    ratios = {w: r for part in df for w in part if df[0][w] + df[1][w] >= least and abs(r := log_ratio(w)) >= 0.25}
     named = {f for t in terms for f in features([t])}
-    ratios |= {w: log_ratio(df[w]) for w in named & df.keys()}
+    ratios |= {w: log_ratio(w) for w in named if df[0][w] + df[1][w]}
+    del df
     if not ratios:
         return ToxicityModel()
     vocabulary = {w: i for i, w in enumerate(sorted(ratios))}
     scale = np.clip(np.abs(np.array([ratios[w] for w in vocabulary])), 0.01, 4.0)
-    held = [sorted(vocabulary[w] for w in found if w in vocabulary) for found in sets]
+    held = [sorted(vocabulary[w] for w in features(words) if w in vocabulary) for words in examples]
     rows = np.repeat(np.arange(n), [len(x) for x in held])
     cols = np.array([i for x in held for i in x], dtype=np.int64)
     values = scale[cols]
@@ -172,7 +172,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, OUT)
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, *, sample: int = 2000, seed: int = 7, **options) -> ToxicityModel:
+def fit_on(docs: DataFrame, labels: DataFrame, *, sample: int = 1500, seed: int = 7, **options) -> ToxicityModel:
     """docs: doc_id, text; labels: doc_id, toxic, already limited to the rows to learn from."""
     wanted = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     # the sample is drawn on (doc_id, label) before any text is joined

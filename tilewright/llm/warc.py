@@ -17,7 +17,8 @@ scheme of ``spark.checkpoint.dir``), so driver and executors share only that
 folder.
 
 Edge cases: null html is an empty payload; a null URL has the key of the empty
-URL and an empty target; repeated rows are separate records, of which any of
+URL and no target; a null id is archived as NO_ID and comes back as null;
+repeated rows are separate records, of which any of
 equal id and payload may be read; an empty table gives no files and no rows.
 """
 
@@ -39,6 +40,8 @@ from pyspark.sql import functions as F
 from tilewright.llm.common import scratch
 
 BLOCK_LINES = 512
+#: Stands for a null id inside the archives; it sorts behind all others.
+NO_ID = (1 << 63) - 1
 LINES = "key string, page_id long, file string, at long, length long"
 DIRECTORY = "key string, page_id long, file string, at long, length long, lines int"
 OUT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -62,6 +65,11 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), tail)
 
 
+def known_id(column: str) -> Column:
+    """The id, NO_ID for null."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
+
+
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
 
@@ -128,7 +136,7 @@ def write_archives(pages: DataFrame, root: str, *, id_col: str = "page_id", url_
             out.close()
 
     body = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("html"))
+    rows = pages.select(known_id(id_col).alias("page_id"), F.col(url_col).alias("url"), body.alias("html"))
     # equal payloads: the same SHA-256 and length; combined before the shuffle
     keyed = rows.select("page_id", "url", "html", F.sha2(F.col("html").cast("binary"), 256).alias("sha"))
     firsts = keyed.groupBy("sha").agg(F.min("page_id").alias("first"))
@@ -263,10 +271,11 @@ def read_back(pages: DataFrame, root: str, *, id_col: str = "page_id", url_col:
                 rows.append((page_id, *captured(*found)))
             yield _batch(rows, OUT)
 
-    wanted = pages.select(url_key(F.col(url_col)).alias("key"), F.col(id_col).cast("long").alias("page_id"))
+    wanted = pages.select(url_key(F.col(url_col)).alias("key"), known_id(id_col).alias("page_id"))
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # in key order, so a task reads each block once
-    return wanted.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(run, OUT)
+    read = wanted.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(run, OUT)
+    return read.withColumns({c: F.nullif(F.col(c), F.lit(NO_ID)) for c in ("page_id", "refers_to")})
 
 
 def archive(pages: DataFrame, root: str | None = None, *, least: int = 0) -> DataFrame:
