@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilewright import bridge as B
@@ -169,28 +169,29 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return R.rings(B.flat_vertices(spark, d))
 
 
-CROSS = F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")
+def cross() -> Column:
+    return F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")
 
 
 @query(f"{EDGES} SELECT way, edges, area2 FROM ar")
 def ring_area(spark: SparkSession, d: str) -> DataFrame:
     """Twice the signed shoelace area in E7 units: exact."""
-    return edges(spark, d).groupBy("way").agg(F.count(F.lit(1)).alias("edges"), F.sum(CROSS).alias("area2"))
+    return edges(spark, d).groupBy("way").agg(F.count(F.lit(1)).alias("edges"), F.sum(cross()).alias("area2"))
 
 
 @query(f"{EDGES}, la AS (SELECT way, min(lat_e7) AS lat FROM fv WHERE closed GROUP BY way) SELECT way, round(abs(sum((x0 * y1 - x1 * y0) / 2e14 * pow(40075.016686 / 360, 2) * cos(radians(lat / 1e7 + (y0 + y1) / 2e7)))), 4) AS km2 FROM ed JOIN la USING (way) GROUP BY way")
 def ring_area_m2(spark: SparkSession, d: str) -> DataFrame:
     """Area in square kilometres with the latitude's shrinking taken at each edge's middle."""
     lat = B.flat_vertices(spark, d).filter("closed").groupBy("way").agg(F.min("lat_e7").alias("lat"))
-    part = CROSS / 2e14 * F.pow(F.lit(40075.016686) / 360, F.lit(2)) * F.cos(F.radians(F.col("lat") / 1e7 + (F.col("y0") + F.col("y1")) / 2e7))
+    part = cross() / 2e14 * F.pow(F.lit(40075.016686) / 360, F.lit(2)) * F.cos(F.radians(F.col("lat") / 1e7 + (F.col("y0") + F.col("y1")) / 2e7))
     return edges(spark, d).join(lat, "way").groupBy("way").agg(F.round(F.abs(F.sum(part)), 4).alias("km2"))
 
 
 @query(f"{EDGES} SELECT way, round(sum((x0 + x1)::DOUBLE * (x0 * y1 - x1 * y0)::DOUBLE) / (3 * max(area2)), 3) AS cx, round(sum((y0 + y1)::DOUBLE * (x0 * y1 - x1 * y0)::DOUBLE) / (3 * max(area2)), 3) AS cy FROM ed JOIN ar USING (way) WHERE area2 <> 0 GROUP BY way")
 def ring_centroid(spark: SparkSession, d: str) -> DataFrame:
     """Centroid relative to the ring's first vertex."""
-    total = lambda c: F.sum(c.cast("double") * CROSS.cast("double"))
-    got = edges(spark, d).groupBy("way").agg(F.sum(CROSS).alias("a"), total(F.col("x0") + F.col("x1")).alias("mx"), total(F.col("y0") + F.col("y1")).alias("my")).filter("a <> 0")
+    total = lambda c: F.sum(c.cast("double") * cross().cast("double"))
+    got = edges(spark, d).groupBy("way").agg(F.sum(cross()).alias("a"), total(F.col("x0") + F.col("x1")).alias("mx"), total(F.col("y0") + F.col("y1")).alias("my")).filter("a <> 0")
     return got.select("way", F.round(F.col("mx") / (3 * F.col("a")), 3).alias("cx"), F.round(F.col("my") / (3 * F.col("a")), 3).alias("cy"))
 
 
