@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import SPACE, scratch, text_or_empty
+from tilewright.llm.common import SPACE, release, scratch, text_or_empty
 
 COMBINE_BYTES = 32 << 20
 ENTRY = "bucket int, h long, sha string, text string, keep_id long, n long"
@@ -180,5 +180,6 @@ def exact_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     ``kept`` is true where doc_id is the smallest of its group.
     """
     keys, index, _ = build_index(docs, id_col=id_col, text_col=text_col, **options)
+    release(docs.sparkSession)  # the shuffle of texts
     found = keys.select("doc_id", "h", "sha").join(index.select("h", "sha", "keep_id", "group_size"), ["h", "sha"])
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))

@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import cut
+from tilewright.llm.common import cut, release
 from tilewright.llm.components import components
 
 LEVELS = 6
@@ -300,6 +300,7 @@ def found_links(docs: DataFrame, members: DataFrame, words: int, percent: int) -
     spark = docs.sparkSession
     met = runs(docs, words, percent).join(members.select("doc_id", "rep"), "doc_id").select("run", F.col("rep").alias("doc_id"))
     met = cut(met.distinct())
+    release(spark)  # the signatures' shuffle
     busy = met.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_runs"))
     ranked = met.join(busy, "doc_id")
     best = F.max(F.struct(F.col("n_runs"), (-F.col("doc_id")).alias("minus")))
@@ -347,6 +348,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     members = classes(rows, words)
     found = found_links(rows, members, words, percent)
+    release(docs.sparkSession)  # the shuffles of texts
     reached = components(found).select(F.col("node").alias("rep"), "component")
     joined = members.join(reached, "rep", "left")
     return joined.select("doc_id", "n_shingles", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
