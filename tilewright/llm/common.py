@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,8 +53,11 @@ def release(spark: SparkSession) -> None:
     The cleaner follows the collector; a driver with a roomy heap may not
     collect for hours, while the files of ended steps fill the disks.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        spark.range(1).collect()  # the scheduler holds the last job until another comes
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def text_or_empty(column: str = "text") -> Column:
