@@ -36,6 +36,7 @@ under one id get a row each; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -96,9 +97,10 @@ def word_hashes(data: bytes) -> np.ndarray:
     return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams; A-Z count as a-z."""
-    w = word_hashes((text or "").encode().lower())  # bytes.lower() changes A-Z only
+def shingle_set(text: str | bytes | None, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the word n-grams of a text or its UTF-8; A-Z count as a-z."""
+    data = text if isinstance(text, bytes) else (text or "").encode()
+    w = word_hashes(data.lower())  # bytes.lower() changes A-Z only
     n = len(w)
     if not n:
         return w
@@ -295,6 +297,17 @@ def runs(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "run long, doc_id long")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, packed: the texts deflated, as a large group sends them to several tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [zlib.compress((t or "").encode(), 1) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["doc_id", "packed"])
+
+    return docs.mapInArrow(run, "doc_id long, packed binary")
+
+
 def found_links(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b): class representatives that links connect, enough to connect all that they do."""
     spark = docs.sparkSession
@@ -328,13 +341,13 @@ def found_links(docs: DataFrame, members: DataFrame, words: int, percent: int) -
                     yield from close()
                     at, ids, sets, sides = tuple(key), [], [], []
                 ids.append(doc_id)
-                sets.append(shingle_set(text, words))
+                sets.append(shingle_set(zlib.decompress(text), words))
                 sides.append(side if key[1] != key[2] else 0)
         yield from close()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = ["grp", "x", "y"]
-    with_text = work.join(docs, "doc_id").select(*key, "side", "doc_id", "text")
+    with_text = work.join(packed(docs), "doc_id").select(*key, "side", "doc_id", "packed")
     ordered = with_text.repartitionByRange(parts, *key).sortWithinPartitions(*key)
     return cut(ordered.mapInArrow(check, "a long, b long"))
 
