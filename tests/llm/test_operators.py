@@ -254,6 +254,27 @@ def test_decontamination_finds_what_brute_force_finds(spark):
     assert decontaminate.find(docs.limit(0), bench).collect() == [] and decontaminate.find(docs, bench.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["mixed", "deletions"])
+@pytest.mark.parametrize("n", [10, 15, 30, 60, 100, 200])
+def test_decontamination_finds_all_passages_at_the_bound(n, kind):
+    draw = random.Random(n)
+    items = [(k, words(n, 1000 * n + k, 3000)) for k in range(40)]
+    bound, texts = decontaminate.edit_bound(n, 0.2), []
+    for k, item in items:
+        passage = list(item)
+        for at in sorted(draw.sample(range(n), bound), reverse=True):
+            passage[at : at + 1] = [] if kind == "deletions" else draw.choice([[], ["zz"], [passage[at], "yy"]])
+        texts.append([*words(30, 5000 + k, 3000), *passage, *words(20, 9000 + k, 3000)])
+    hits = decontaminate.Matcher(items).hits([" ".join(t) for t in texts])
+    found = [{h[0]: h for h in hs}.get(k) for k, hs in enumerate(hits)]
+    assert all(found)
+    if n > 60:
+        return  # the comparison below takes long
+    for (_, start, distance, _), (_, item), text in zip(found, items, texts, strict=True):
+        assert distance == edit_distance_to_passage(item, text) <= bound
+        assert edit_distance_to_passage(item, text[start : start + n + distance]) == distance
+
+
 def test_toxicity_learns_stems_and_leaves_neutral_mentions_alone():
     draw = random.Random(2)
     terms = toxicity.IDENTITY_TERMS

@@ -7,14 +7,13 @@ A document is contaminated by an item when some passage of it is within
    (n - e) / (e + 1) words is whole: a window is laid wherever a document holds
    that stretch's first words (three at most) of an item.  This loses nothing
    and leaves item-sized windows in few places.
-2. CGK embedding.  A random walk copies a window's words, stepping on or not by
-   a random bit of (step, word); two walks with the same bits meet again soon
-   after an edit, so edit distance becomes Hamming distance.
-3. Bit sampling.  In each of R repetitions, with walks and positions of their
-   own, window and item are candidates where all sampled positions agree; R
-   follows from the target recall at the bound of edits.
-4. Exact verification: the smallest edit distance of the item to any passage
-   around the window, by dynamic programming.
+2. Ranges.  The passage is then within e words of the window's place, on either
+   side; ranges of one item that touch are searched as one.
+3. Exact search: the smallest edit distance of the item to any passage of a range,
+   a column of the dynamic programme at a time in the bits of two numbers.  A
+   range that shares too few words with the item is passed over before.
+
+No range is left to sampling, so all passages within the bound are found.
 
 Items come to the executors in blocks of ``ITEM_BLOCK`` items, so the memory of
 a task is bounded however many there are; documents are never shuffled.
@@ -39,10 +38,6 @@ from pyspark.sql import functions as F
 
 WORDS = re.compile(r"[^\W_]+")
 ITEM_BLOCK = 20_000
-SAMPLED = 3
-#: Share of embedded positions that agree at the bound of edits, as designed for.
-AGREE = 0.6
-WINDOWS = 2048
 OUT = "doc_id long, item_id long, start long, distance long, item_words long"
 Hit = tuple[int, int, int, int]  # item number, start, distance, words
 
@@ -55,8 +50,36 @@ def edit_bound(n: int, edits: float) -> int:
     return math.floor(edits * n + 1e-9)
 
 
-def repetitions(recall: float) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - AGREE**SAMPLED))
+def nearest_end(item: list[int], words: list[int], bound: int) -> tuple[int, int] | None:
+    """(distance, end) of the first passage of ``words`` nearest to ``item``, within the bound.
+
+    Myers' bit vectors: bit i of ``more`` (``less``) is set where the distance grows
+    (falls) from the item's first i words to its first i + 1.
+    """
+    at: dict[int, int] = {}
+    for i, x in enumerate(item):
+        at[x] = at.get(x, 0) | 1 << i
+    if sum(map(at.__contains__, words)) < len(item) - bound:
+        return None
+    every, last = (1 << len(item)) - 1, 1 << (len(item) - 1)
+    more, less, distance = every, 0, len(item)
+    best = (bound + 1, 0)
+    for j, x in enumerate(words):
+        equal = at.get(x, 0)
+        down = equal | less
+        across = (((equal & more) + more) ^ more) | equal
+        grows = less | ~(across | more) & every
+        falls = more & across
+        if grows & last:
+            distance += 1
+        elif falls & last:
+            distance -= 1
+            if distance < best[0]:
+                best = (distance, j + 1)
+        grows <<= 1
+        more = (falls << 1 | ~(down | grows)) & every
+        less = grows & down & every
+    return best if best[0] <= bound else None
 
 
 def best_passage(item: list[int], words: list[int], bound: int) -> tuple[int, int] | None:
@@ -87,8 +110,6 @@ class Matcher:
 
     items: list[tuple[int, list[str]]]  # item_id, words
     edits: float = 0.2
-    recall: float = 0.999
-    seed: int = 7
     vocabulary: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self):
@@ -96,7 +117,6 @@ class Matcher:
             for w in words:
                 self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
         self.ids = [[self.vocabulary[w] for w in words] for _, words in self.items]
-        self.length = np.array([len(x) for x in self.ids], dtype=np.int64)
         self.radix = len(self.vocabulary) + 1
         grams: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for k, ids in enumerate(self.ids):
@@ -105,13 +125,6 @@ class Matcher:
             for at in range(len(ids) - q + 1):
                 grams.setdefault(q, {}).setdefault(self.code(ids[at : at + q]), []).append((k, at))
         self.grams = {q: (np.array(sorted(g), dtype=np.int64), g) for q, g in grams.items()}
-        self.reps = repetitions(self.recall)
-        draw = np.random.default_rng(self.seed)
-        self.widest = int(self.length.max(initial=1))
-        self.steps = 2 * self.widest
-        self.odd = draw.integers(0, 1 << 62, (self.reps, self.steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.places = draw.random((self.reps, SAMPLED))
-        self.keys = np.concatenate([self.embedded(self.matrix(self.ids[a : a + WINDOWS]), self.length[a : a + WINDOWS]) for a in range(0, len(self.ids), WINDOWS)], axis=1) if self.ids else None
 
     def code(self, ids: list[int]) -> int:
         value = 0
@@ -119,28 +132,6 @@ class Matcher:
             value = value * self.radix + x
         return value
 
-    def matrix(self, rows: list[list[int]]) -> np.ndarray:
-        """Word numbers, -1 behind the end of a row."""
-        x = np.full((len(rows), self.widest + 1), -1, dtype=np.int64)
-        for k, row in enumerate(rows):
-            x[k, : len(row)] = row
-        return x
-
-    def embedded(self, x: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """(R, rows, SAMPLED): the words at the sampled positions of each walk."""
-        reps, n = self.reps, len(x)
-        wanted = (self.places[:, None, :] * (2 * length)[None, :, None]).astype(np.int64)
-        out = np.full((reps, n, SAMPLED), -1, dtype=np.int64)
-        at = np.zeros((reps, n), dtype=np.int64)
-        row = np.arange(n)[None, :]
-        for step in range(int(2 * length.max(initial=0))):
-            word = x[row, at]
-            for t in range(SAMPLED):
-                np.copyto(out[:, :, t], word, where=wanted[:, :, t] == step)
-            bit = ((word + 2).astype(np.uint64) * self.odd[:, step : step + 1]) >> np.uint64(63)
-            at = np.minimum(at + bit.astype(np.int64), length)
-        return out
-
     def places_in(self, ids: np.ndarray) -> set[tuple[int, int]]:
         """(item, start) of the windows that the item's stretches lay in a document."""
         found: set[tuple[int, int]] = set()
@@ -162,53 +153,42 @@ class Matcher:
                 found.update((item, p - q_at) for item, q_at in grams[int(value[p])])
         return found
 
+    def ranges_in(self, ids: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, low, high): where in a document passages of the item may lie, apart from each other."""
+        item, low, high = -1, 0, 0
+        for k, start in sorted(self.places_in(ids)):
+            n = len(self.ids[k])
+            e = edit_bound(n, self.edits)
+            if k == item and start - e <= high:
+                high = start + n + e
+                continue
+            if item >= 0:
+                yield item, low, high
+            item, low, high = k, max(0, start - e), start + n + e
+        if item >= 0:
+            yield item, low, high
+
     def hits(self, texts: list[str | None]) -> list[list[Hit]]:
         """For each text the items that it holds, each at its best passage."""
         get = self.vocabulary.get
-        best: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
-        waiting: list[tuple[int, int, int, list[int]]] = []  # text, item, start, window
-        numbers: dict[int, list[int]] = {}
-
-        def flush() -> None:
-            if not waiting:
-                return
-            item = np.array([w[1] for w in waiting])
-            length = self.length[item]
-            keys = self.embedded(self.matrix([w[3] for w in waiting]), np.array([len(w[3]) for w in waiting]))
-            # the sampled places follow the item's length, as in its own embedding
-            same = (keys == self.keys[:, item]).all(axis=2).any(axis=0)
-            for k in np.flatnonzero(same | (length < 1)).tolist():
-                text, number, start, _ = waiting[k]
-                e = edit_bound(len(self.ids[number]), self.edits)
-                low = max(0, start - e)
-                part = numbers[text][low : start + len(self.ids[number]) + e]
-                if (found := best_passage(self.ids[number], part, e)) is not None:
-                    answer = (found[0], low + found[1])
-                    best[text][number] = min(best[text].get(number, answer), answer)
-            waiting.clear()
-
-        for k, text in enumerate(texts):
+        out: list[list[Hit]] = []
+        for text in texts:
             ids = [get(w, 0) for w in words_of(text)]
-            if len(ids) < 1:
-                continue
-            numbers[k] = ids
-            for item, start in sorted(self.places_in(np.array(ids, dtype=np.int64))):
-                n = len(self.ids[item])
-                low = max(0, start)
-                window = ids[low : low + n]
-                if window == self.ids[item]:
-                    best[k][item] = min(best[k].get(item, (0, low)), (0, low))
-                elif best[k].get(item, (1, 0))[0]:
-                    window += [0] * (n - len(window))
-                    waiting.append((k, item, start, window))
-            if len(waiting) >= WINDOWS:
-                flush()
-                numbers = {}
-        flush()
-        return [[(item, start, distance, len(self.ids[item])) for item, (distance, start) in sorted(b.items())] for b in best]
-
-
-def matchers(items: DataFrame, *, item_col: str = "item_id", text_col: str = "text", edits: float = 0.2, least: int = 5, recall: float = 0.999, seed: int = 7) -> Iterator[Matcher]:
+            best: dict[int, tuple[int, int]] = {}  # item: distance, start
+            for k, low, high in self.ranges_in(np.array(ids, dtype=np.int64)):
+                item = self.ids[k]
+                bound = best[k][0] - 1 if k in best else edit_bound(len(item), self.edits)
+                if bound < 0 or (found := nearest_end(item, ids[low:high], bound)) is None:
+                    continue
+                distance, end = found
+                first = max(0, end - len(item) - distance)
+                passage = best_passage(item, ids[low + first : low + end], distance)
+                best[k] = (distance, low + first + passage[1])
+            out.append([(k, start, distance, len(self.ids[k])) for k, (distance, start) in sorted(best.items())])
+        return out
+
+
+def matchers(items: DataFrame, *, item_col: str = "item_id", text_col: str = "text", edits: float = 0.2, least: int = 5) -> Iterator[Matcher]:
     """Matchers for the items, a block at a time in the order of their ids."""
     rows = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).orderBy("item_id", "text")
     block: list[tuple[int, list[str]]] = []
@@ -217,10 +197,10 @@ def matchers(items: DataFrame, *, item_col: str = "item_id", text_col: str = "te
         if len(words) >= least and row["item_id"] is not None:
             block.append((row["item_id"], words))
         if len(block) == ITEM_BLOCK:
-            yield Matcher(block, edits, recall, seed)
+            yield Matcher(block, edits)
             block = []
     if block:
-        yield Matcher(block, edits, recall, seed)
+        yield Matcher(block, edits)
 
 
 def find(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
