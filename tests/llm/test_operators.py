@@ -184,6 +184,26 @@ def test_main_text_without_an_article_follows_the_density():
     assert html_extract.main_text(page).count("\n") == 4 and "two" not in html_extract.main_text(page)
 
 
+LINKS = "".join(f"<div><a href={k}>link {k}</a> | <a href=x>more of it</a></div>" for k in range(3))
+
+
+def test_main_text_keeps_one_line_texts():
+    story = "One line<br>of a story. " * 200
+    for page in (f"<td>{story}</td>{LINKS}<p>{'x' * 60}</p><p>{'y' * 60}</p>", f"<td>{story}</td>{LINKS}", f"{LINKS}<td>{story}</td>{LINKS}<p>short</p>"):
+        text = html_extract.main_text(page)
+        assert text.count("of a story.") == 200 and "link" not in text
+    parts = "".join(f"<article>{k}: {story}</article>{LINKS}" for k in range(2))
+    assert html_extract.main_text(parts).count("of a story.") == 400
+
+
+def test_main_text_keeps_all_parts_of_an_interrupted_page():
+    story = [f"<p>{k}: {'long text of the story goes on ' * 5}</p>" for k in range(6)]
+    text = html_extract.main_text("".join(story[:4]) + LINKS + "".join(story[4:]))
+    assert [x[0] for x in text.split("\n")] == list("012345")
+    text = html_extract.main_text(story[0] + "<p>See <a href=1>a title much longer than the rest</a> too.</p>" + story[1])
+    assert text.split("\n")[1] == "See a title much longer than the rest too."
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<script>x", "<!-- open", "plain", "<p class='x>y", "&#0; &bogus; &lt;", "<article></article>", "</p></div>"])
 def test_main_text_of_broken_pages(page):
     assert isinstance(html_extract.main_text(page), str)

@@ -5,15 +5,16 @@
    bars, notices, adverts, reader comments, by element or by class and id) is
    dropped with its element.  References are decoded, white space becomes one
    space, empty lines vanish.
-2. Each line gets a weight: its text length without link text; inside an
-   article or main element at least ``threshold``, and outside such an element,
+2. Each line gets a weight: its text length less twice its link text, not below
+   nothing; inside an article or main element at least ``threshold``, and outside such an element,
    where the page has one, nothing.
 3. A line's block is the sum of weights over ``window`` lines from it on.  The
-   text starts at a surge point, where the block reaches the threshold and the
-   next is not empty, and ends at a dive point, where a whole window is empty.
-   Of the stretches between surge and dive all are kept for marked articles,
-   else the one with most text.
-4. The lines of the kept stretches are the text, joined by a line feed.
+   text starts at a surge point, where the line alone reaches the threshold, or
+   the block does and the next is not empty, and ends at a dive point, where a
+   whole window is empty.  All stretches between surge and dive are kept.
+4. The lines of the stretches are the text, joined by a line feed, on marked
+   pages without the lines of no weight, else without those that hold no word
+   outside links.
 
 Edge cases: null and empty html give an empty text; a page without a surge gives
 its only or largest run of unmarked lines; unclosed elements end with the page,
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 OUT = "page_id long, url string, text string, n_chars long"
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+WORD = re.compile(r"[^\W_]")
 NAME_PART = re.compile(r"[a-z]+")
 # Fixed values of HTML.
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video".split())
@@ -51,6 +53,7 @@ ROLES = frozenset("navigation banner complementary contentinfo search form menu
 class Line:
     text: str
     linked: int  # characters of link text
+    plain: bool  # a letter or digit outside links
     marked: bool  # inside an article or main element
 
 
@@ -71,15 +74,16 @@ def to_lines(page: str) -> list[Line]:
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # element, starts furniture, starts an article
     hidden = depth = links = linked = at = 0
+    plain = False
 
     def end_line() -> None:
-        nonlocal linked
+        nonlocal linked, plain
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                lines.append(Line(text, linked, depth > 0))
+                lines.append(Line(text, linked, plain, depth > 0))
             parts.clear()
-        linked = 0
+        linked, plain = 0, False
 
     def leave(to: int) -> None:
         nonlocal hidden, depth, links
@@ -96,6 +100,8 @@ def to_lines(page: str) -> list[Line]:
             parts.append(piece)
             if links:
                 linked += len(piece)
+            elif not plain:
+                plain = WORD.search(html.unescape(piece)) is not None
         if not tag:
             break
         at = tag.end()
@@ -103,6 +109,7 @@ def to_lines(page: str) -> list[Line]:
         if not name:
             if tag[0].startswith("<![CDATA[") and not hidden:
                 parts.append(tag[0][9:-3])
+                plain = plain or not links and WORD.search(tag[0][9:-3]) is not None
             continue
         if name in BLOCK:
             end_line()
@@ -143,7 +150,7 @@ def main_text(page: str | None, *, window: int = 3, threshold: int = 86) -> str:
     stretches: list[tuple[int, int]] = []
     i = 0
     while i < len(lines):
-        if weights[i] and blocks[i] >= threshold and (blocks[i + 1] or i + 1 == len(lines)):
+        if weights[i] >= threshold or weights[i] and blocks[i] >= threshold and (blocks[i + 1] or i + 1 == len(lines)):
             start = i  # surge
             while i < len(lines) and blocks[i]:
                 i += 1
@@ -155,8 +162,7 @@ def main_text(page: str | None, *, window: int = 3, threshold: int = 86) -> str:
     elif has_article:
         kept = [x for a, b in stretches for x, w in zip(lines[a:b], weights[a:b], strict=True) if w]
     else:
-        a, b = max(stretches, key=lambda s: sum(weights[s[0] : s[1]]))
-        kept = [x for x, w in zip(lines[a:b], weights[a:b], strict=True) if w]
+        kept = [x for a, b in stretches for x in lines[a:b] if x.plain]
     return "\n".join(x.text for x in kept)
 
 
