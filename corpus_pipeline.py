@@ -7,8 +7,9 @@
 5. mix: the rest is mixed to target weights; returns the mix's table.
 
 Edge cases: null texts count as empty (kept as one document by stage 2); rows
-with a null id are kept or dropped together; an empty table stays empty; further
-columns are carried along to the last stage, which returns the mix's own.
+whose id is null or repeated are decided on one by one, of equal ones any stays;
+an empty table stays empty; further columns are carried along to the last stage,
+which returns the mix's own.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm import decontaminate, exact_dedup, jaccard_join, mixing, toxicity
-from tilewright.llm.common import scratch, table
+from tilewright.llm.common import cut, scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,19 +28,43 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_civil(docs, model)
 
 
-def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id, null included, is among ``ids``."""
-    wanted = ids.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+def shared_ids(docs: DataFrame) -> DataFrame | None:
+    """The ids, as ``_id``, that name no single row: the repeated ones and null; None if there are none."""
+    ids = cut(docs.groupBy(F.col("doc_id").alias("_id")).count().filter("count > 1 or _id is null").select("_id"))
+    return None if ids.isEmpty() else ids
+
+
+def with_ids(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of ``docs`` whose doc_id, null included, is (left_anti: is not) among ``ids``."""
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), how)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return with_ids(docs, exact_dedup.exact_dedup(docs).filter("kept"))
+    kept = exact_dedup.exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept_sha"))
+    shared = shared_ids(docs)
+    if shared is None:
+        return with_ids(docs, kept)
+    several = with_ids(docs, shared).withColumn("_sha", F.sha2(exact_dedup.normalised().cast("binary"), 256))
+    stay = several.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_kept_sha")), "left_semi")
+    return with_ids(with_ids(docs, shared, "left_anti"), kept).unionByName(stay.dropDuplicates(["doc_id", "_sha"]).drop("_sha"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    joined = jaccard_join.join(docs, words=5, percent=80)
-    return with_ids(docs, joined.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    def kept(rows: DataFrame) -> DataFrame:
+        joined = jaccard_join.join(rows, words=5, percent=80)
+        return joined.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id"))
+
+    shared = shared_ids(docs)
+    if shared is None:
+        return with_ids(docs, kept(docs))
+    # rows without an id of their own get a number that no row has as its id
+    least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    number = F.monotonically_increasing_id()
+    number = number + F.lit((most or 0) + 1) if (most or 0) < 1 << 62 else F.lit(least - 1) - number
+    several = cut(with_ids(docs, shared).withColumn("_row", number))
+    rows = with_ids(docs, shared, "left_anti").withColumn("_row", F.col("doc_id").cast("long")).unionByName(several)
+    stay = kept(rows.select(F.col("_row").alias("doc_id"), "text"))
+    return rows.join(stay, F.col("_row") == F.col("_id"), "left_semi").drop("_row")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

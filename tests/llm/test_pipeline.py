@@ -66,3 +66,21 @@ def test_stages_survive_empty_tables_and_nulls(spark, folder):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), root).collect() == [], name
         assert stage(spark, odd, root).count() <= 3, name
+
+
+def test_rows_without_an_id_of_their_own_are_decided_on_one_by_one(spark, folder):
+    a, b, c, d, e = (words(40, 600 + k, 3000) for k in range(5))
+    near_a, near_d = near(a, 1, 1), near(d, 1, 2)
+    rows = [(1, a), (1, a), (1, b), (2, b), (2, c), (None, d), (None, d), (None, near_d), (None, c), (3, near_a), (3, e), (None, None), (None, ""), (4, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, h string"
+    docs = spark.createDataFrame([(i, t and " ".join(t), None, None, None, None) for i, t in rows], schema)
+    told = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    name = lambda pairs: sorted(((i, t and " ".join(t)) for i, t in pairs), key=str)
+    exact = corpus_pipeline.drop_exact_copies(spark, docs, folder[0])
+    assert told(exact) == name([(1, a), (1, b), (2, c), (None, d), (None, near_d), (3, near_a), (3, e), (4, None)])
+    left = corpus_pipeline.drop_near_copies(spark, exact, folder[0])
+    assert left.columns == docs.columns
+    texts = [t for _, t in told(left)]
+    assert len(texts) == 6 and {" ".join(x) for x in (b, c, e)} < set(texts) and None in texts
+    assert sum(" ".join(x) in texts for x in (a, near_a)) == sum(" ".join(x) in texts for x in (d, near_d)) == 1
+    assert len(told(corpus_pipeline.drop_near_copies(spark, docs, folder[0]))) == 5 + 3  # no two texts without words are near
