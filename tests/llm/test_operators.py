@@ -295,6 +295,17 @@ def test_decontamination_finds_all_passages_at_the_bound(n, kind):
         assert edit_distance_to_passage(item, text[start : start + n + distance]) == distance
 
 
+def test_decontamination_finds_short_items_and_items_without_an_id(spark):
+    long = " ".join(words(20, 1, 3000))
+    items = [(1, "Yes"), (2, "forty-two apples"), (3, "a b c d"), (4, None), (5, " -- "), (None, long)]
+    rows = [(1, "and YES it is"), (2, "yesterday forty apples two"), (3, "Forty two, apples!"), (4, "x a b c d y a b c"), (5, "a b c x d"), (6, f"x {long} y"), (7, None), (8, "--")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {tuple(r) for r in decontaminate.find(docs, bench).collect()}
+    assert found == {(1, 1, 1, 0, 1), (3, 2, 0, 0, 3), (4, 3, 1, 0, 4), (6, None, 1, 0, 20)}
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).collect()} == {2, 5, 7, 8}
+
+
 def test_toxicity_learns_stems_and_leaves_neutral_mentions_alone():
     draw = random.Random(2)
     terms = toxicity.IDENTITY_TERMS

@@ -19,9 +19,11 @@ Items come to the executors in blocks of ``ITEM_BLOCK`` items, so the memory of
 a task is bounded however many there are; documents are never shuffled.
 
 Words are runs of letters and digits, in lower case.  Edge cases: null and empty
-texts hold nothing; null items and items of fewer than ``least`` words are not
-looked for, as ordinary prose holds them by chance; equal items each count;
-repeated rows give repeated results; an empty table of either kind gives none.
+texts hold nothing; items of few words have a bound of 0 edits and are found as
+exact word sequences, in ordinary prose too (``least`` words are asked for, one
+unless told otherwise); items without a word are in no document; items with a null id are found like others, with a null item_id; equal
+items each count; repeated rows give repeated results; an empty table of either
+kind gives none.
 """
 
 from __future__ import annotations
@@ -108,7 +110,7 @@ def best_passage(item: list[int], words: list[int], bound: int) -> tuple[int, in
 class Matcher:
     """The items of one block, ready to be looked for."""
 
-    items: list[tuple[int, list[str]]]  # item_id, words
+    items: list[tuple[int | None, list[str]]]  # item_id, words
     edits: float = 0.2
     vocabulary: dict[str, int] = field(default_factory=dict)
 
@@ -188,13 +190,13 @@ class Matcher:
         return out
 
 
-def matchers(items: DataFrame, *, item_col: str = "item_id", text_col: str = "text", edits: float = 0.2, least: int = 5) -> Iterator[Matcher]:
+def matchers(items: DataFrame, *, item_col: str = "item_id", text_col: str = "text", edits: float = 0.2, least: int = 1) -> Iterator[Matcher]:
     """Matchers for the items, a block at a time in the order of their ids."""
     rows = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).orderBy("item_id", "text")
-    block: list[tuple[int, list[str]]] = []
+    block: list[tuple[int | None, list[str]]] = []
     for row in rows.toLocalIterator():
         words = words_of(row["text"])
-        if len(words) >= least and row["item_id"] is not None:
+        if words and len(words) >= least:
             block.append((row["item_id"], words))
         if len(block) == ITEM_BLOCK:
             yield Matcher(block, edits)
