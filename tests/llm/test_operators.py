@@ -329,6 +329,19 @@ def test_toxicity_learns_stems_and_leaves_neutral_mentions_alone():
     assert toxicity.fit([], []).score({"a"}) < 0.5 and toxicity.fit([["a"]], [1]).score(set()) < 0.5
 
 
+@pytest.mark.parametrize("term", "woman man christian muslim jew immigrant african".split())
+def test_toxicity_penalises_singular_terms(term):
+    draw = random.Random(3)
+    examples, labels = [], []
+    for k in range(400):
+        bad = k % 2 == 0
+        examples.append(words(30, k, 300) + ["vile"] * (bad and draw.random() < 0.6) + [term] * (draw.random() < (0.8 if bad else 0.05)))
+        labels.append(int(bad))
+    neutral = [set(words(30, 5000 + k, 300)) for k in range(30)]
+    change = lambda m: max(abs(m.score(w | {term}) - m.score(w)) for w in neutral)
+    assert change(toxicity.fit(examples, labels, penalty=50.0)) < 0.05 < change(toxicity.fit(examples, labels, penalty=0.0))
+
+
 def test_toxicity_on_documents(spark):
     rows = [(k, " ".join(words(30, k, 200) + (["awful", "dreadful"] if k % 4 == 0 else []))) for k in range(300)] + [(900, None), (901, ""), (None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")

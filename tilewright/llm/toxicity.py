@@ -39,7 +39,12 @@ IDENTITY_TERMS = (
     "africans asians europeans americans mexicans immigrants refugees "
     "gay lesbian straight bisexual transgender "
     "black white latino "
-    "deaf blind disabled elderly"
+    "deaf blind disabled elderly "
+    "woman man girl boy wife husband "
+    "christian muslim jew jewish hindu buddhist atheist catholic "
+    "african asian european american mexican immigrant refugee "
+    "gays lesbians bisexuals "
+    "blacks whites latinos latina latinas"
 ).split()
 OUT = "doc_id long, score double, predicted int"
 
