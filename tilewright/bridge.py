@@ -110,6 +110,13 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return area.union(four).union(two)
 
 
+def relation_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, tags of the area relations; every fifth isn't an area by its type."""
+    ids = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 16).alias("id")).distinct()
+    kind = F.when(F.col("id") % 5 == 4, "site").when(F.col("id") % 2 == 0, "multipolygon").otherwise("boundary")
+    return ids.select("id", F.map_concat(_case(F.col("id"), WAY_CASES), F.create_map(F.lit("type"), kind)).alias("tags"))
+
+
 def boundary_of_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     """way, parent_level, parent_disputed: the fold over the admin relations of a way."""
     from tilewright.operators.resolve import boundary_fold

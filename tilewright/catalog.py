@@ -1,6 +1,6 @@
 """The queries on the driver's tables, by name, and their oracles."""
 
-from tilewright.plans import elements, kernels, tiles  # noqa: F401
+from tilewright.plans import build, elements, kernels, tiles  # noqa: F401
 from tilewright.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from tilewright.schema import EARTH
+
 Point = tuple[float, float]
 Ring = list[Point]
 
@@ -17,6 +20,15 @@ def area2(ring: Sequence[Point]) -> float:
     return total
 
 
+def area_m2(ring: Sequence[Point]) -> float:
+    """Square metres of a ring in the unit square: each edge's part is scaled by the latitude of its middle."""
+    total, (x0, y0) = 0.0, ring[0]
+    for (ax, ay), (bx, by) in zip(ring, [*ring[1:], *ring[:1]], strict=True):
+        scale = EARTH / math.cosh(math.pi * (1 - ay - by))
+        total += ((ax - x0) * (by - y0) - (bx - x0) * (ay - y0)) * scale * scale
+    return abs(total) / 2
+
+
 def inside(p: Point, ring: Sequence[Point]) -> bool:
     """Even-odd rule."""
     x, y = p
@@ -81,7 +93,7 @@ def is_convex(ring: Sequence[Point]) -> bool:
 
 
 def point_on_surface(shape: Sequence[Sequence[Point]], lines: int = 5) -> Point | None:
-    """Middle of the longest stretch inside on ``lines`` scan lines; the first of equals."""
+    """Middle of the longest stretch inside on ``lines`` scan lines; the first of equals. None for a shape without an inside there."""
     ys = [y for _, y in shape[0]]
     low, high = min(ys), max(ys)
     best: tuple[float, Point] | None = None
@@ -89,89 +101,217 @@ def point_on_surface(shape: Sequence[Sequence[Point]], lines: int = 5) -> Point
         y = low + (high - low) * k / (lines + 1)
         xs = sorted((bx - ax) * (y - ay) / (by - ay) + ax for ring in shape for (ax, ay), (bx, by) in zip(ring, [*ring[1:], *ring[:1]], strict=True) if (ay > y) != (by > y))
         for a, b in zip(xs[::2], xs[1::2], strict=False):
-            if best is None or b - a > best[0]:
-                best = (b - a, ((a + b) / 2, y))
+            middle = ((a + b) / 2, y)
+            if (best is None or b - a > best[0]) and a < middle[0] < b and in_shape(middle, shape):
+                best = (b - a, middle)
     return best[1] if best else None
 
 
+def in_shape(p: Point, shape: Sequence[Sequence[Point]]) -> bool:
+    return inside(p, shape[0]) and not any(inside(p, hole) for hole in shape[1:])
+
+
+def point_with_holes(shape: Sequence[Sequence[Point]]) -> Point | None:
+    """A point of the shape outside its holes: seven lines, else the outer ring's own point unless a hole has it."""
+    found = point_on_surface(shape, 7)
+    if found is None and (other := point_on_surface(shape[:1])) is not None and in_shape(other, shape):
+        found = other
+    return found
+
+
+def label_point(shapes: Sequence[Sequence[Sequence[Point]]], how: str = "surface") -> Point | None:
+    """One point for all shapes of a feature.
+
+    centroid: of all, aligned to the largest; convex: the centroid if the only
+    ring is convex, else as surface: on the largest shape, the first of equals.
+    """
+    if not shapes:
+        return None
+    largest = max(shapes, key=lambda s: abs(area2(s[0])))
+    if how == "centroid" or how == "convex" and len(shapes) == len(largest) == 1 and is_convex(largest[0]):
+        return area_and_centroid(shapes)[1]
+    return point_with_holes(largest)
+
+
+def area_and_centroid(shapes: Sequence[Sequence[Sequence[Point]]]) -> tuple[float, Point | None]:
+    """Area, holes taken off, and centroid; shapes of another world copy are moved to the largest shape's."""
+    if not shapes:
+        return 0.0, None
+    largest = max(shapes, key=lambda s: abs(area2(s[0])))
+    home = centroid(largest)
+    x = y = total = 0.0
+    for shape in shapes:
+        size = (abs(area2(shape[0])) - sum(abs(area2(h)) for h in shape[1:])) / 2
+        at = centroid(shape)
+        if at is None or size <= 0:
+            continue
+        away = round(at[0] - home[0]) if home else 0
+        x, y, total = x + (at[0] - away) * size, y + at[1] * size, total + size
+    return total, (x / total, y / total) if total else home
+
+
+def vertex_key(p: Point) -> tuple[int, int]:
+    """A vertex as whole numbers of 1e-12 of the world."""
+    return round(p[0] * 1e12), round(p[1] * 1e12)
+
+
+def unwrapped(points: Sequence[Point]) -> Ring:
+    """Vertices without steps of more than half a world."""
+    out: Ring = []
+    shift = 0.0
+    for k, (x, y) in enumerate(points):
+        if k:
+            step = x - points[k - 1][0]
+            shift += -1.0 if step > 0.5 else 1.0 if step < -0.5 else 0.0
+        out.append((x + shift, y))
+    return out
+
+
+#: Ends nearer than this meet.
+NEAR = 1e-9
+
+
+class _Ends:
+    """Ends of ways by place; ends nearer than NEAR are one."""
+
+    def __init__(self):
+        self.cells: dict[tuple[int, int], list[tuple[Point, int]]] = {}
+        self.count = 0
+
+    def number(self, p: Point) -> int:
+        cell = (math.floor(p[0] / NEAR), math.floor(p[1] / NEAR))
+        for dx in (-1, 0, 1):
+            for dy in (-1, 0, 1):
+                for q, n in self.cells.get((cell[0] + dx, cell[1] + dy), ()):
+                    if abs(q[0] - p[0]) <= NEAR and abs(q[1] - p[1]) <= NEAR:
+                        return n
+        self.cells.setdefault(cell, []).append((p, self.count))
+        self.count += 1
+        return self.count - 1
+
+
 def assemble(ways: Sequence[Sequence[Point]]) -> tuple[list[Ring], int]:
-    """Rings of ways chained at equal ends; the number of chains that don't close."""
+    """Rings of ways chained at their ends; the number of chains that don't close.
+
+    A chain that comes back to an end it has passed gives that loop as a ring and
+    goes on from there, so no choice at a junction costs a ring.  Rings of under
+    three vertices are dropped.
+    """
+    ends = _Ends()
     rings: list[Ring] = []
-    open_ways = []
+    left: list[tuple[int, int, list[Point]]] = []  # end, end, points
     for way in ways:
         if len(way) < 2:
             continue
-        if way[0] == way[-1]:
+        a, b = ends.number(way[0]), ends.number(way[-1])
+        if a == b:
             if len(way) >= 4:
                 rings.append(list(way[:-1]))
         else:
-            open_ways.append(list(way))
-    ends: dict[Point, list[int]] = {}
-    for k, way in enumerate(open_ways):
-        ends.setdefault(way[0], []).append(k)
-        ends.setdefault(way[-1], []).append(k)
-    used = [False] * len(open_ways)
+            left.append((a, b, list(way)))
+    at: dict[int, list[int]] = {}
+    for k, (a, b, _) in enumerate(left):
+        at.setdefault(a, []).append(k)
+        at.setdefault(b, []).append(k)
+    used = [False] * len(left)
+
+    def follow(end: int) -> int | None:
+        return next((k for k in at[end] if not used[k]), None)
+
     dropped = 0
-    for k, way in enumerate(open_ways):
-        if used[k]:
+    for first in range(len(left)):
+        if used[first]:
             continue
-        used[k] = True
-        chain = list(way)
-        while chain[0] != chain[-1]:
-            at = next((j for j in ends.get(chain[-1], ()) if not used[j]), None)
-            if at is None:
-                chain.reverse()
-                at = next((j for j in ends.get(chain[-1], ()) if not used[j]), None)
-                if at is None:
-                    break
-            used[at] = True
-            more = open_ways[at]
-            chain += more[1:] if more[0] == chain[-1] else more[::-1][1:]
-        if chain[0] == chain[-1] and len(chain) >= 4:
-            rings.append(chain[:-1])
-        else:
-            dropped += 1
+        # start where an open chain must, at an end of its own
+        chain: list[tuple[int, list[Point]]] = []  # end that a piece starts at, its points
+        tip = left[first][0]
+        for direction in (0, 1):
+            while (k := follow(tip)) is not None:
+                used[k] = True
+                a, b, points = left[k]
+                chain.append((tip, points if a == tip else points[::-1]))
+                tip = b if a == tip else a
+                loop = next((i for i, (start, _) in enumerate(chain) if start == tip), None)
+                if loop is not None:
+                    ring = [p for _, piece in chain[loop:] for p in piece[:-1]]
+                    if len(ring) >= 3:
+                        rings.append(ring)
+                    del chain[loop:]
+            if not direction and chain:  # the other way round, from the chain's start
+                start = chain[0][0]
+                stops = [s for s, _ in chain[1:]] + [tip]
+                chain = [(stop, piece[::-1]) for stop, (_, piece) in zip(reversed(stops), reversed(chain), strict=True)]
+                tip = start
+        dropped += bool(chain)
     return rings, dropped
 
 
+def on_boundary(p: Point, ring: Sequence[Point]) -> bool:
+    """Whether a point is a corner or on an edge."""
+    x, y = p
+    for (ax, ay), (bx, by) in zip(ring, [*ring[1:], *ring[:1]], strict=True):
+        if (bx - ax) * (y - ay) == (by - ay) * (x - ax) and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
+            return True
+    return False
+
+
 def contains(outer: Sequence[Point], ring: Sequence[Point]) -> bool:
     """Is a ring inside another: by a vertex, or an edge's middle, off its boundary."""
-    edges = set(zip(outer, [*outer[1:], *outer[:1]], strict=True))
-    corners = set(outer)
+    for p in ring:
+        if not on_boundary(p, outer):
+            return inside(p, outer)
     for (ax, ay), (bx, by) in zip(ring, [*ring[1:], *ring[:1]], strict=True):
-        if (ax, ay) not in corners:
-            return inside((ax, ay), outer)
-        if ((ax, ay), (bx, by)) not in edges and ((bx, by), (ax, ay)) not in edges:
-            return inside(((ax + bx) / 2, (ay + by) / 2), outer)
+        if not on_boundary(p := ((ax + bx) / 2, (ay + by) / 2), outer):
+            return inside(p, outer)
     return False
 
 
+def in_order(rings: Sequence[Ring]) -> list[Ring]:
+    """Rings from their least vertex on, sorted by box and then by vertices: the same however they came."""
+    turned = [(r := list(ring))[k:] + r[:k] for ring in rings if len(ring) for k in [min(range(len(ring)), key=ring.__getitem__)]]
+    key = lambda r: (min(x for x, _ in r), min(y for _, y in r), max(x for x, _ in r), max(y for _, y in r), r)
+    return sorted(turned, key=key)
+
+
 def polygons(rings: Sequence[tuple[str, Ring]]) -> list[list[Ring]]:
     """Shapes (outer ring, holes) of rings with roles; an empty role follows from depth.
 
-    Outer rings turn positive, holes negative; a hole goes to the smallest outer
-    ring around it, and one without becomes an outer ring.
+    Rings are unwrapped first.  Outer rings turn positive, holes negative; a hole
+    goes to the smallest outer ring around it or around its copy a world away,
+    and one without becomes an outer ring.
     """
-    known = [(role, list(ring)) for role, ring in rings if len(ring) >= 3]
+    known = [(role, unwrapped(ring)) for role, ring in rings if len(ring) >= 3]
+    size = [abs(area2(ring)) for _, ring in known]
     roles = []
     for k, (role, ring) in enumerate(known):
         if not role:
-            depth = sum(contains(other, ring) for j, (_, other) in enumerate(known) if j != k and abs(area2(other)) > abs(area2(ring)))
+            depth = sum(size[j] > size[k] and held_at(other, ring) is not None for j, (_, other) in enumerate(known) if j != k)
             role = "inner" if depth % 2 else "outer"
         roles.append(role)
     turned = lambda ring, positive: ring if (area2(ring) > 0) == positive else ring[::-1]
-    shapes = [[turned(ring, True)] for role, (_, ring) in zip(roles, known, strict=True) if role == "outer"]
+    outer = in_order([ring for role, (_, ring) in zip(roles, known, strict=True) if role == "outer"])
+    inner = in_order([ring for role, (_, ring) in zip(roles, known, strict=True) if role == "inner"])
+    shapes = [[turned(ring, True)] for ring in outer]
     alone = []
-    for role, (_, ring) in zip(roles, known, strict=True):
-        if role == "inner":
-            around = [s for s in shapes if abs(area2(s[0])) > abs(area2(ring)) and contains(s[0], ring)]
-            if around:
-                min(around, key=lambda s: abs(area2(s[0]))).append(turned(ring, False))
-            else:
-                alone.append([turned(ring, True)])
+    for ring in inner:
+        around = [(abs(area2(s[0])), k, shift) for k, s in enumerate(shapes) if abs(area2(s[0])) > abs(area2(ring)) and (shift := held_at(s[0], ring)) is not None]
+        if around:
+            _, k, shift = min(around)
+            shapes[k].append([(x + shift, y) for x, y in turned(ring, False)])
+        else:
+            alone.append([turned(ring, True)])
     return shapes + alone
 
 
+def held_at(outer: Sequence[Point], ring: Sequence[Point]) -> float | None:
+    """By how many worlds a ring is moved to be inside another; None: by none."""
+    low, high = min(x for x, _ in outer), max(x for x, _ in outer)
+    for shift in (0.0, 1.0, -1.0):
+        if all(low <= x + shift <= high for x, _ in ring) and contains(outer, [(x + shift, y) for x, y in ring] if shift else ring):
+            return shift
+    return None
+
+
 def clip_ring(ring: Sequence[Point], x0: float, y0: float, x1: float, y1: float, rounded: bool = False) -> Ring:
     """A ring cut to a rectangle by four half planes; a crossing is rounded from its smaller end."""
 

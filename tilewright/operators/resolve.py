@@ -27,6 +27,11 @@ def missing_refs(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     return per_way.agg(total(F.col("refs"), "refs"), total(F.col("hits"), "resolved"), total(F.col("refs") - F.col("hits"), "missing"), total((F.col("refs") > F.col("hits")).cast("int"), "ways_with_missing"), total((F.col("hits") == 0).cast("int"), "ways_without_coordinates"))
 
 
+def area_relations(relations: DataFrame) -> DataFrame:
+    """Relations that are areas by their type; that a layer matches them is told by their classification."""
+    return relations.filter(F.col("tags")["type"].isin("multipolygon", "boundary"))
+
+
 def needed_ways(ways: DataFrame, members: DataFrame) -> DataFrame:
     """The ways that an area relation names: a semi-join."""
     return ways.join(members.select(F.col("way").alias("id")), "id", "left_semi")

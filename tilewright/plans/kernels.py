@@ -3,10 +3,6 @@
 from __future__ import annotations
 
 import gzip
-import math
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,44 +11,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright import bridge as B
-from tilewright.functions import geo as G
 from tilewright.kernels import lines as L
 from tilewright.kernels import polygons as P
 from tilewright.kernels import rings as K
+from tilewright.operators import archive as AR
+from tilewright.operators import build as BU
+from tilewright.operators import ocean as OC
+from tilewright.plans import build as PB
+from tilewright.plans import oracles as O
+from tilewright.plans import tiles as T
 from tilewright.plans.registry import query
-from tilewright.schema import BUFFER, EXTENT, PIXEL
-from tilewright.sources import mvt
+from tilewright.schema import BUFFER, EXTENT
+from tilewright.sources import files, mvt, pmtiles
+from tilewright.sources.osm_pbf import register
 
-ZOOMS = range(8, 15)
+EVERYTHING = BU.Options()
 
 
 def geometry(spark: SparkSession, d: str) -> DataFrame:
-    """way, closed, xs, ys: unit coordinates in order, worlds unwrapped."""
-    lon = F.when(F.col("lon_e7") < -1_700_000_000, F.col("lon_e7") + 3_600_000_000).otherwise(F.col("lon_e7"))
-    v = B.flat_vertices(spark, d).select("way", "closed", F.struct("pos", G.merc_x(lon).alias("x"), G.merc_y(F.col("lat_e7")).alias("y")).alias("p"))
-    got = v.groupBy("way", "closed").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    return got.select("way", "closed", F.col("p.x").alias("xs"), F.col("p.y").alias("ys"))
-
-
-def emitted(xs: np.ndarray, ys: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(z, x, y, points) of a line's pieces in tiles: simplified from the source at each zoom."""
-    points = np.stack([xs, ys], axis=1)
-    for z in reversed(ZOOMS):
-        n = 1 << z
-        span = points.max(axis=0) - points.min(axis=0)
-        if z < 14 and float(span @ span) < (PIXEL / EXTENT / n) ** 2:
-            return
-        kept = points if z == 14 else points[L.simplify(points, 1 / (256 * n))]
-        scaled = [(float(a) * n, float(b) * n) for a, b in kept]
-        pad = BUFFER / EXTENT
-        tx, ty = [a for a, _ in scaled], [b for _, b in scaled]
-        for x in range(max(0, math.floor(min(tx) - pad)), min(n - 1, math.floor(max(tx) + pad)) + 1):
-            for y in range(max(0, math.floor(min(ty) - pad)), min(n - 1, math.floor(max(ty) + pad)) + 1):
-                for piece in L.clip_line(scaled, x - pad, y - pad, x + 1 + pad, y + 1 + pad):
-                    local = [(P.rounded((a - x) * EXTENT), P.rounded((b - y) * EXTENT)) for a, b in piece]
-                    wide, high = (max(p[k] for p in local) - min(p[k] for p in local) for k in (0, 1))
-                    if z == 14 or wide * wide + high * high >= PIXEL * PIXEL:
-                        yield z, x, y, len(local)
+    """way, closed, xs, ys, pins of all ways."""
+    return PB.geometry(spark, d).withColumnRenamed("id", "way")
+
+
+def ring_of(row) -> list[tuple[float, float]]:
+    return list(zip(map(float, row.xs[:-1]), map(float, row.ys[:-1]), strict=True))
 
 
 def _rows(df: DataFrame, f, schema: str) -> DataFrame:
@@ -67,47 +49,62 @@ def _rows(df: DataFrame, f, schema: str) -> DataFrame:
 
 @query()
 def simplify_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Vertices kept at each zoom below 14."""
+    """Vertices kept at each zoom below 14, shared nodes always."""
 
     def kept(row):
-        points = np.stack([row.xs, row.ys], axis=1)
-        return [(row.way, z, len(points), len(L.simplify(points, 1 / (256 * 2**z)))) for z in range(8, 14)]
+        points, pins = np.stack([row.xs, row.ys], axis=1), np.array(row.pins, dtype=bool)
+        one = L.simplify_closed if row.closed else L.simplify
+        return [(row.way, z, len(points), len(one(points, P.grid_tolerance(z), pins))) for z in range(14)]
 
     return _rows(geometry(spark, d), kept, "way long, z int, points int, kept int")
 
 
 @query()
 def clip_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Pieces of each way in the buffered zoom-14 tile of its first vertex."""
+    """Pieces of each way in every buffered zoom-14 tile that it crosses."""
 
     def clip(row):
-        n, pad = 1 << 14, BUFFER / EXTENT
+        n = 1 << 14
         points = [(float(a) * n, float(b) * n) for a, b in zip(row.xs, row.ys, strict=True)]
-        x, y = math.floor(points[0][0]), math.floor(points[0][1])
-        pieces = L.clip_line(points, x - pad, y - pad, x + 1 + pad, y + 1 + pad)
-        return [(row.way, len(pieces), sum(map(len, pieces)))]
+        return [(row.way, x, y, len(pieces), sum(map(len, pieces))) for x, y, pieces in L.line_tiles(points, 14, BUFFER / EXTENT)]
+
+    return _rows(geometry(spark, d), clip, "way long, x int, y int, pieces int, points int")
 
-    return _rows(geometry(spark, d), clip, "way long, pieces int, points int")
+
+def measured(rows: DataFrame, kind: int) -> DataFrame:
+    """Features of one kind with their parts and points, from the packed geometry's length."""
+    parts = F.conv(F.hex(F.reverse(F.substring("geom", 1, 4))), 16, 10).cast("int")
+    points = ((F.octet_length("geom") / 4 - 1 - F.col("parts")) / 2).cast("int")
+    return BU.spread(rows.filter(F.col("kind") == kind)).withColumn("parts", parts).select("feature_id", "layer", "tile_id", "parts", points.alias("points"))
 
 
 @query()
 def emit_lines(spark: SparkSession, d: str) -> DataFrame:
-    """A row for each piece of a way in a tile."""
-    return _rows(geometry(spark, d), lambda r: [(r.way, *e) for e in emitted(np.array(r.xs), np.array(r.ys))], "way long, z int, x int, y int, points int")
+    """A row for each piece of a matched way in a tile, from its layer's own first zoom on."""
+    return measured(PB.way_rows(spark, d, EVERYTHING), mvt.LINE).drop("parts")
 
 
 @query()
 def emit_polygons(spark: SparkSession, d: str) -> DataFrame:
-    """A row for each tile of a closed way; rings that cross themselves have z -1 and are counted, not dropped."""
+    """A row for each shape of a matched closed way in a tile; what crosses itself is resolved."""
+    return measured(PB.way_rows(spark, d, EVERYTHING), mvt.POLYGON).withColumnRenamed("parts", "rings")
 
-    def cut(row):
-        ring = list(zip(map(float, row.xs[:-1]), map(float, row.ys[:-1]), strict=True))
-        found = P.tiles(ring, 10)
-        if found is None:
-            return [(row.way, -1, 0, 0, 0, 0)]
-        return [(row.way, z, x, y, len(r), K.area2(r)) for z, x, y, r in found]
 
-    return _rows(geometry(spark, d).filter("closed"), cut, "way long, z int, x int, y int, points int, area2 long")
+@query()
+def emit_multipolygons(spark: SparkSession, d: str) -> DataFrame:
+    """A row for each shape of a matched area relation in a tile, holes included."""
+    return measured(PB.relation_rows(spark, d, EVERYTHING), mvt.POLYGON).withColumnRenamed("parts", "rings")
+
+
+@query()
+def normalized_rings(spark: SparkSession, d: str) -> DataFrame:
+    """Shapes, rings and doubled area on the zoom-14 grid of what each closed way covers."""
+
+    def resolve(row):
+        shapes = P.shape_on_grid([ring_of(row)])
+        return [(row.way, len(shapes), sum(map(len, shapes)), sum(int(K.area2(r)) for s in shapes for r in s))]
+
+    return _rows(geometry(spark, d).filter("closed"), resolve, "way long, shapes int, rings int, area2 long")
 
 
 @query()
@@ -115,7 +112,7 @@ def convexity(spark: SparkSession, d: str) -> DataFrame:
     """Whether each closed way is simple and convex."""
 
     def judge(row):
-        ring = list(zip(map(float, row.xs[:-1]), map(float, row.ys[:-1]), strict=True))
+        ring = ring_of(row)
         return [(row.way, K.is_simple(ring), K.is_convex(ring))]
 
     return _rows(geometry(spark, d).filter("closed"), judge, "way long, simple boolean, convex boolean")
@@ -123,10 +120,10 @@ def convexity(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def point_on_surface(spark: SparkSession, d: str) -> DataFrame:
-    """A label point inside each closed way."""
+    """A label point inside each closed way that has an inside."""
 
     def label(row):
-        ring = list(zip(map(float, row.xs[:-1]), map(float, row.ys[:-1]), strict=True))
+        ring = ring_of(row)
         p = K.point_on_surface([ring])
         return [(row.way, p[0], p[1], K.inside(p, ring))] if p else []
 
@@ -136,46 +133,29 @@ def point_on_surface(spark: SparkSession, d: str) -> DataFrame:
 def relation_shapes(spark: SparkSession, d: str) -> DataFrame:
     """id, members as (role, xs, ys) lists: sixteen ways a relation at most."""
     m = B.relations(spark, d).filter("kind = 'area'").select("id", "way", "role")
-    got = m.join(geometry(spark, d), "way").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("way", "role", "xs", "ys"))).alias("members"))
-    return got
-
-
-def shapes_of(members) -> tuple[list[list[K.Ring]], int]:
-    roles: dict[str, list] = {}
-    for m in members:
-        roles.setdefault(m["role"], []).append([(float(a), float(b)) for a, b in zip(m["xs"], m["ys"], strict=True)])
-    rings, dropped = [], 0
-    for role, ways in sorted(roles.items()):
-        made, lost = K.assemble(ways)
-        rings += [(role, r) for r in made]
-        dropped += lost
-    return K.polygons(rings), dropped
+    return m.join(geometry(spark, d).select("way", "xs", "ys"), "way").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("way", "role", "xs", "ys"))).alias("members"))
 
 
 @query()
 def assemble_multipolygons(spark: SparkSession, d: str) -> DataFrame:
-    """Shapes, holes and chains that don't close, for each area relation."""
+    """Shapes, holes, chains that don't close and the area of each area relation."""
 
     def build(row):
-        shapes, dropped = shapes_of(row.members)
-        return [(row.id, len(shapes), sum(len(s) - 1 for s in shapes), dropped)]
+        shapes, dropped = BU.shapes_of(row.members)
+        return [(row.id, len(shapes), sum(len(s) - 1 for s in shapes), dropped, K.area_and_centroid(shapes)[0])]
 
-    return _rows(relation_shapes(spark, d), build, "id long, shapes int, holes int, dropped int")
+    return _rows(relation_shapes(spark, d), build, "id long, shapes int, holes int, dropped int, area double")
 
 
 @query()
 def relation_labels(spark: SparkSession, d: str) -> DataFrame:
-    """One label for each relation: a point on its largest shape."""
+    """One label of each kind for each relation: the centroid of all, and a point on the largest shape."""
 
     def label(row):
-        shapes, _ = shapes_of(row.members)
-        if not shapes:
-            return []
-        best = max(shapes, key=lambda s: abs(K.area2(s[0])))
-        p = K.point_on_surface(best, 7) or K.point_on_surface(best[:1])
-        return [(row.id, p[0], p[1])] if p else []
+        shapes, _ = BU.shapes_of(row.members)
+        return [(row.id, how, *p) for how in ("centroid", "convex", "surface") if (p := K.label_point(shapes, how))]
 
-    return _rows(relation_shapes(spark, d), label, "id long, x double, y double")
+    return _rows(relation_shapes(spark, d), label, "id long, how string, x double, y double")
 
 
 @query()
@@ -193,16 +173,17 @@ def line_merge(spark: SparkSession, d: str) -> DataFrame:
     return _rows(g, chain, "block long, lines int, merged int, points int")
 
 
-def encoded_tiles(spark: SparkSession, d: str) -> DataFrame:
-    """tile_id, features, payload: each block of ways as one compressed tile."""
-    g = geometry(spark, d).withColumn("tile_id", F.floor(F.col("way") / 16))
-    g = g.groupBy("tile_id").agg(F.array_sort(F.collect_list(F.struct("way", "closed", "xs", "ys"))).alias("ways"))
+def local_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """tile_id, features, payload: each block of sixteen ways as one compressed tile, on the block's own 8 by 8 lattice."""
+    v = B.flat_vertices(spark, d).withColumn("k", F.col("node") % 10000)
+    at = F.struct("pos", ((F.col("k") % 8) * 512).cast("int").alias("x"), (F.floor(F.col("k") / 8) * 512).cast("int").alias("y"))
+    ways = v.groupBy("way", "closed").agg(F.array_sort(F.collect_list(at)).alias("p")).withColumn("tile_id", F.floor(F.col("way") / 16))
+    g = ways.groupBy("tile_id").agg(F.array_sort(F.collect_list(F.struct("way", "closed", "p"))).alias("ways"))
 
     def encode(row):
         layers: dict[str, list[mvt.Feature]] = {}
         for m in row.ways:
-            x0, y0 = float(m["xs"][0]), float(m["ys"][0])
-            part = [(P.rounded((a - x0) * 2**26), P.rounded((b - y0) * 2**26)) for a, b in zip(m["xs"], m["ys"], strict=True)]
+            part = [(p["x"], p["y"]) for p in m["p"]]
             kind = mvt.POLYGON if m["closed"] else mvt.LINE
             layers.setdefault("land" if m["closed"] else "streets", []).append(mvt.Feature(kind, [part], {"kind": "way", "even": m["way"] % 2 == 0, "n": len(part)}, m["way"]))
         raw = b"".join(mvt.encode_layer(name, f) for name, f in sorted(layers.items()))
@@ -211,35 +192,41 @@ def encoded_tiles(spark: SparkSession, d: str) -> DataFrame:
     return _rows(g, encode, "tile_id long, features int, payload binary")
 
 
-@query()
+@query(
+    f"""WITH {O.FV}, c AS (
+  SELECT way, way // 16 AS tile_id, pos, node % 10000 AS k, closed, lag(node % 10000) OVER (PARTITION BY way ORDER BY pos) AS before FROM fv
+), f AS (  -- repeated points go, and a ring's closing vertex
+  SELECT tile_id, way, closed, count(*) - CASE WHEN closed AND count(*) > 1 THEN 1 ELSE 0 END AS points FROM c WHERE before IS NULL OR before <> k GROUP BY tile_id, way, closed
+)
+SELECT tile_id, count(*)::INT AS given, count(*) FILTER (WHERE points >= CASE WHEN closed THEN 3 ELSE 2 END)::INT AS features,
+       coalesce(sum(points) FILTER (WHERE points >= CASE WHEN closed THEN 3 ELSE 2 END), 0)::INT AS points FROM f GROUP BY tile_id"""
+)
 def mvt_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Tiles encoded and strictly decoded again: features, points, ids in order."""
+    """Tiles encoded and strictly decoded again: lines under two points and rings under three vanish, all others stay."""
 
     def decode(row):
         layers = mvt.decode(gzip.decompress(row.payload))
         features = [f for fs in layers.values() for f in fs]
-        return [(row.tile_id, row.features, len(features), sum(len(p) for f in features for p in f.parts), len(row.payload))]
+        return [(row.tile_id, row.features, len(features), sum(len(p) for f in features for p in f.parts))]
 
-    return _rows(encoded_tiles(spark, d), decode, "tile_id long, given int, features int, points int, bytes int")
+    return _rows(local_tiles(spark, d), decode, "tile_id long, given int, features int, points int")
 
 
-@query()
+@query(f"{T.RUNS} SELECT start_id, run_length, length, digest FROM ra JOIN bl USING (digest)")
 def archive_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """An archive written in tile order and read back through the data source."""
-    from tilewright.sources.osm_pbf import register
-    from tilewright.sources.pmtiles import write_archive
-
+    """An archive written in parts by tile range and read back through the data source."""
     register(spark)
-    root = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()).removeprefix("file://")
-    os.makedirs(root, exist_ok=True)
-    path = f"{root}/tiles-{uuid.uuid4().hex}.pmtiles"
-    ordered = encoded_tiles(spark, d).orderBy("tile_id").select("tile_id", "payload")
-    write_archive(path, ((r["tile_id"], bytes(r["payload"])) for r in ordered.toLocalIterator()), {"name": "roundtrip", "format": "pbf"})
+    path = f"{files.scratch(spark, 'roundtrip')}/tiles.pmtiles"
+    AR.write(T.tiles(spark, d).withColumn("payload", F.col("payload").cast("binary")), path, pmtiles.metadata("roundtrip"))
     back = spark.read.format("pmtiles").load(path)
     return back.select("start_id", "run_length", "length", F.sha2("payload", 256).alias("digest"))
 
 
-@query()
+RECTS = """rc AS (SELECT n_nationkey::BIGINT AS id, n_nationkey::BIGINT * 7 % 200 AS x0, n_nationkey::BIGINT * 11 % 200 AS y0 FROM nation
+), rt AS (SELECT id, 8::BIGINT AS z, x, y FROM rc, range(256) a(x), range(256) b(y) WHERE x BETWEEN x0 AND x0 + 37 AND y BETWEEN y0 AND y0 + 21)"""
+
+
+@query(f"WITH RECURSIVE {RECTS}, {O.hilbert('rt')}, pl AS (SELECT id, d, d - row_number() OVER (PARTITION BY id ORDER BY d) AS g FROM rt JOIN hid ON rt.x = hid.x AND rt.y = hid.y) SELECT id, min(d) AS first, count(*) AS tiles FROM pl GROUP BY id, g")
 def rect_to_hilbert_ranges(spark: SparkSession, d: str) -> DataFrame:
     """Ranges of zoom-8 tile places in one rectangle for each nation."""
     n = B.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
@@ -248,13 +235,46 @@ def rect_to_hilbert_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ocean_tiles(spark: SparkSession, d: str) -> DataFrame:
-    """Tiles of one rectangle of sea for each nation, zooms 6 to 10, and whether each is full."""
-    n = B.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
-
-    def cells(row):
-        x, y = 0.1 + row.id * 0.03, 0.2 + row.id * 0.02
-        ring = [(x, y), (x + 0.004, y), (x + 0.004, y + 0.003), (x, y + 0.003)]
-        whole = 2 * (EXTENT + 2 * BUFFER) ** 2
-        return [(row.id, z, tx, ty, abs(K.area2(r)) >= whole) for z, tx, ty, r in P.tiles(ring, 6) if z <= 10]
-
-    return _rows(n, cells, "id long, z int, x int, y int, is_full boolean")
+    """Tiles of the sea to zoom 9: by zoom, features, rings, points and covered tiles."""
+    rows = measured(OC.features(PB.sea_pieces(spark, d), (0, 9)), mvt.POLYGON)
+    z = F.floor(F.log2(3.0 * F.col("tile_id") + 1) / 2).cast("int").alias("z")
+    return rows.groupBy(z).agg(F.count(F.lit(1)).alias("features"), F.count_distinct("tile_id").alias("tiles"), F.sum("parts").alias("rings"), F.sum("points").alias("points"), F.count_if(F.col("feature_id") == OC.FULL_ID).alias("full"))
+
+
+RECTANGLES = """rs AS (SELECT n_nationkey::BIGINT AS piece, (n_nationkey * 41 % 200) / 256.0 + 1 / 1024.0 AS x0, (n_nationkey * 53 % 200) / 256.0 + 1 / 1024.0 AS y0 FROM nation
+), rz AS (SELECT *, x0 + 5 / 128.0 AS x1, y0 + 3 / 128.0 AS y1, z FROM rs, range(8, 11) t(z)
+), rx AS (SELECT piece, z, x, y, x0, y0, x1, y1, 1::BIGINT << z AS n FROM rz, range(1024) a(x), range(1024) b(y)
+          WHERE x < 1::BIGINT << z AND y < 1::BIGINT << z AND (x + 1 + 1 / 32.0) / (1::BIGINT << z) > x0 AND (x - 1 / 32.0) / (1::BIGINT << z) < x1
+            AND (y + 1 + 1 / 32.0) / (1::BIGINT << z) > y0 AND (y - 1 / 32.0) / (1::BIGINT << z) < y1)"""
+
+
+@query(f"WITH {RECTANGLES} SELECT piece, z::INT AS z, count(*) AS tiles, count(*) FILTER (WHERE (x - 1 / 32.0) / n >= x0 AND (x + 1 + 1 / 32.0) / n <= x1 AND (y - 1 / 32.0) / n >= y0 AND (y + 1 + 1 / 32.0) / n <= y1) AS full_tiles FROM rx GROUP BY piece, z")
+def ocean_rectangles(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles of one rectangle of sea for each nation at zooms 8 to 10, and those covered whole."""
+    n = B.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("piece"))
+    x0, y0 = ((F.col("piece") * k % 200) / 256.0 + 1 / 1024.0 for k in (41, 53))
+    corner = lambda dx, dy: F.struct((x0 + dx).alias("x"), (y0 + dy).alias("y"))
+    w, h = 5 / 128.0, 3 / 128.0
+    pieces = n.select("piece", F.array(F.array(corner(0, 0), corner(w, 0), corner(w, h), corner(0, h), corner(0, 0))).alias("rings"))
+    rows = BU.spread(OC.features(pieces, (8, 10)))
+    z = F.floor(F.log2(3.0 * F.col("tile_id") + 1) / 2).cast("int").alias("z")
+    xs = F.col("feature_id")
+    # a covered tile names no piece: its piece is found by its place, as rectangles are told apart by their tiles alone
+    return placed_pieces(rows.select("tile_id", z, (xs == OC.FULL_ID).alias("is_full"), xs.alias("piece")), n)
+
+
+def placed_pieces(rows: DataFrame, nations: DataFrame) -> DataFrame:
+    """Counts by rectangle and zoom; a covered tile counts for every rectangle that covers its cell."""
+    from tilewright.functions import geo as G
+
+    at = rows.withColumn("t", G.tile_xy(F.col("tile_id")))
+    at = at.withColumn("x", F.col("t.x")).withColumn("y", F.col("t.y"))
+    own = at.filter("NOT is_full").groupBy("piece", "z").agg(F.count_distinct("tile_id").alias("part"))
+    pad, n = 1 / 32.0, F.pow(F.lit(2.0), F.col("z"))
+    x0, y0 = ((F.col("nation") * k % 200) / 256.0 + 1 / 1024.0 for k in (41, 53))
+    w, h = 5 / 128.0, 3 / 128.0
+    covers = ((F.col("x") - pad) / n >= x0) & ((F.col("x") + 1 + pad) / n <= x0 + w) & ((F.col("y") - pad) / n >= y0) & ((F.col("y") + 1 + pad) / n <= y0 + h)
+    full = at.filter("is_full").select("tile_id", "z", "x", "y").distinct().join(F.broadcast(nations.withColumnRenamed("piece", "nation")), covers)  # 25 nations
+    full = full.groupBy(F.col("nation").alias("piece"), "z").agg(F.count(F.lit(1)).alias("full_tiles"))
+    got = own.join(full, ["piece", "z"], "full").fillna(0, ["part", "full_tiles"])
+    return got.select("piece", "z", (F.col("part") + F.col("full_tiles")).alias("tiles"), "full_tiles")

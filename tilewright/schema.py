@@ -176,3 +176,52 @@ POIS = {
 }
 BRIDGES = "yes viaduct boardwalk cantilever covered low_water_crossing movable trestle".split()
 TUNNELS = ["yes", "building_passage"]
+
+#: Layers whose own geometry is a line, whether the way is closed or not.
+LINE_LAYERS = "water_lines water_lines_labels dam_lines pier_lines boundaries streets street_labels aerialways ferries".split()
+#: Line layers that are drawn however small they are.
+ALWAYS_DRAWN = ("boundaries", "streets")
+#: How a polygon's label point is found; the others: a point on its surface.
+LABEL_RULES = {"water_polygons_labels": "centroid", "addresses": "convex"}
+# Fixed values: (square kilometres, first zoom) of boundary labels; smaller ones: 5.
+BOUNDARY_LABEL_AREAS = [(2_000_000, 2), (700_000, 3), (100_000, 4)]
+# Attributes that aren't text.
+BOOLEAN_KEYS = "tunnel bridge link rail oneway oneway_reverse maritime disputed atm recycling:glass_bottles recycling:paper recycling:clothes recycling:scrap_metal".split()
+INTEGER_KEYS = "admin_level population ref_rows ref_cols ele".split()
+DECIMAL_KEYS = "height min_height building:levels way_area".split()
+
+# The attributes that each layer declares; kind_of_key tells their kinds.
+NAMES = "name name_en name_de".split()
+LAYER_FIELDS: dict[str, list[str]] = {
+    "water_polygons": ["kind"],
+    "water_polygons_labels": ["kind", *NAMES],
+    "water_lines": ["kind", "tunnel", "bridge"],
+    "water_lines_labels": ["kind", "tunnel", "bridge", *NAMES],
+    "dam_lines": ["kind"],
+    "dam_polygons": ["kind"],
+    "pier_lines": ["kind"],
+    "pier_polygons": ["kind"],
+    "boundaries": ["admin_level", "maritime", "disputed"],
+    "boundary_labels": ["admin_level", "way_area", *NAMES],
+    "place_labels": ["kind", "population", *NAMES],
+    "land": ["kind"],
+    "sites": ["kind"],
+    "buildings": ["height", "min_height", "building:levels"],
+    "addresses": ["housename", "housenumber"],
+    "streets": "kind link rail tunnel bridge oneway oneway_reverse tracktype surface service bicycle horse".split(),
+    "street_polygons": "kind bridge tunnel service surface".split(),
+    "street_labels": ["kind", "ref", "ref_rows", "ref_cols", "tunnel", *NAMES],
+    "street_labels_points": ["kind", "ref", *NAMES],
+    "streets_polygons_labels": ["kind", *NAMES],
+    "bridges": ["kind"],
+    "aerialways": ["kind"],
+    "ferries": ["kind", *NAMES],
+    "public_transport": ["kind", "iata", *NAMES],
+    "pois": ["kind", *[k for k in POIS if k != "mountain_pass"], *NAMES, "housename", "housenumber", *"cuisine vending religion denomination recycling:glass_bottles recycling:paper recycling:clothes recycling:scrap_metal atm sport tower:type information ele".split()],
+    "ocean": [],
+}
+
+
+def kind_of_key(key: str) -> str:
+    """Boolean, Number or String, as metadata tells it."""
+    return "Boolean" if key in BOOLEAN_KEYS else "Number" if key in INTEGER_KEYS or key in DECIMAL_KEYS else "String"
