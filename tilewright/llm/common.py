@@ -7,7 +7,7 @@ import tempfile
 import time
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters, as the contracts name them.
@@ -60,6 +60,51 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
+def seeded_sample(rows: DataFrame, group: str, order: list[str], n: int, seed: int) -> DataFrame:
+    """The ``n`` first rows of each group in the order of a seeded hash of ``order``; ties by ``order``.
+
+    A count of each group gives the part of the hashes that surely holds that
+    many, so only about four times ``n`` rows of a group are ranked, however
+    large it is.  Groups are few, as labels are.  Fewer than ``n`` rows: all.
+    """
+    key = F.xxhash64(*order, F.lit(seed))
+    sizes = rows.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_size"))
+    known = rows.withColumn("_key", key).join(F.broadcast(sizes), F.col(group).eqNullSafe(F.col("_group"))).drop("_group")  # a row for each label
+    part = (F.col("_key").cast("double") / 2.0**64 + 0.5) * F.col("_size") <= 4 * n + 64
+    rank = F.row_number().over(Window.partitionBy(group).orderBy("_key", *order))
+    return known.filter(part).withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_key", "_size", "_rank")
+
+
+BITMAP_DEPTH = 20
+
+
+def _place(h: Column) -> tuple[Column, Column]:
+    """Word and bit of a 64-bit hash in a bitmap."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63).cast("long")).cast("int"))
+    return F.shiftrightunsigned(h, 64 - BITMAP_DEPTH), bit
+
+
+def bitmap(keys: DataFrame, h: str) -> DataFrame:
+    """place, mask: a bitmap of 2^26 places, 2^BITMAP_DEPTH rows at most, with the hashes of column ``h``.
+
+    Written to the shared folder; several hashes may share a place, so it tells
+    for sure only which hashes are absent.
+    """
+    place, bit = _place(F.col(h))
+    words = keys.select(place.alias("place"), bit.alias("bit")).groupBy("place").agg(F.bit_or("bit").alias("mask"))
+    return cut(words)
+
+
+def marked(rows: DataFrame, h: Column, places: DataFrame, yes: bool = True) -> DataFrame:
+    """The rows whose hash is at a marked place (``yes``), or at none."""
+    place, bit = _place(h)
+    told = rows.withColumn("_place", place).withColumn("_bit", bit)
+    small = F.broadcast(places.select(F.col("place").alias("_place"), "mask"))  # 2^BITMAP_DEPTH rows at most
+    found = told.join(small, "_place", "inner" if yes else "left")
+    is_set = F.col("mask").bitwiseAND(F.col("_bit")) != 0
+    return found.filter(is_set if yes else F.col("mask").isNull() | ~is_set).select(*rows.columns)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
