@@ -13,24 +13,32 @@ least ``percent`` * |A or B|, which bounds |A xor B| by a share of |A| + |B|.
    e spare ones an equal word that isn't empty remains.  A set with more empty
    words is dealt anew with other hashes, as often as it takes up to
    ``LEVELS``; beyond that its empty words count too.
-3. Classes that share a word form runs; equal runs are kept once.  A run goes to
-   its anchor, the member that is in most runs, so the many runs of a group of
-   near copies go to a few anchors, each class once to each; classes of one
-   anchor are compared together, those of a large one in pairs of blocks of
-   ``BLOCK`` classes, each a task's work in bounded memory.  No table of
-   candidate pairs exists.
-4. In a task one-bit parity sketches are compared first: their Hamming distance
+3. Classes that share a word form runs; equal runs are kept once.  A word that
+   many texts of one reader share doesn't travel by word: its rows go straight
+   to the run that the word names, spread over all tasks, and a mark tells the
+   word's own task to name the run alike.  No task gathers a hot word.
+4. A run goes to its anchor, the member that is in most runs, so the many runs
+   of a group of near copies go to a few anchors, each class once to each.
+   Classes of one anchor are compared in blocks of ``BLOCK``, the anchor in each,
+   a task's work in bounded memory.  A group of one block is done with that; of
+   the others only runs that still hold several components go on, and there
+   blocks of one component don't meet each other.  So a group of n near copies
+   of its anchor costs n texts, not n * n / BLOCK.
+5. In a task one-bit parity sketches are compared first: their Hamming distance
    is at most |A xor B|.  What remains is verified on the full sets, unless
    links already found connect the two.
-5. The links, at most one a class in each comparison, give the components.
+6. The links, at most one a class in each comparison, give the components.
 
-So a group of n similar texts costs n rows for each anchor, n / BLOCK times as
-many when it is large, and loses no link that would change a component.
+No link that would change a component is lost.  Texts travel deflated, and only
+those of classes in a run: a bitmap of at most 2^20 rows tells them.
 
 Edge cases: null and empty texts and texts of white space have no shingle and
 stand alone; a text with fewer words than a shingle is one shingle; a row with a
-null id takes the class of an equal set and has no other link; rows repeated
-under one id get a row each; an empty table gives an empty result.
+null id links like any other, but gives no name: a component of such rows alone
+has a null name; rows repeated under one id get a row each, and links of either
+text count for the id; texts of any length are whole; further columns are
+ignored, whatever their names; an empty table gives an empty result.  Ids are
+below 2^62.
 """
 
 from __future__ import annotations
@@ -42,14 +50,22 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import cut, release
+from tilewright.llm.common import bitmap, cut, marked
 from tilewright.llm.components import components
 
 LEVELS = 6
-BLOCK = 800
+BLOCK = 256
+#: A word is hot for a reader from so many of its texts on, among SIGN_KEYS words or so.
+HOT, SIGN_KEYS = 64, 1 << 20
+#: A run of more rows streams through its task.
+HELD = 100_000
+#: Nodes from here on stand for texts without an id.
+NAMELESS = 1 << 62
+#: Kinds of rows of a sketch word, in the order of their sorting.
+DIRECT, MARK, COLD = np.arange(3, dtype=np.int8)
 SKETCH_WORDS = 32
 U = np.uint64
 MASK = (1 << 64) - 1
@@ -178,11 +194,12 @@ def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def compare(ids: list[int], sets: list[np.ndarray], sides: list[int], percent: int) -> list[tuple[int, int]]:
+def compare(ids: list[int], sets: list[np.ndarray], sides: list[int], known: list[int], percent: int) -> list[tuple[int, int]]:
     """(member, smallest member of its component) for the components that links make.
 
     sides: 0 and 1 for two blocks, of which only pairs across are wanted; all 0
-    within one block.
+    within one block.  known: components found before; their members need no
+    comparison.
     """
     parent = list(range(len(ids)))
 
@@ -193,7 +210,10 @@ def compare(ids: list[int], sets: list[np.ndarray], sides: list[int], percent: i
         return x
 
     order = sorted(range(len(ids)), key=ids.__getitem__)  # a root is its component's smallest id
-    ids, sets, sides = [ids[k] for k in order], [sets[k] for k in order], [sides[k] for k in order]
+    ids, sets, sides, known = [ids[k] for k in order], [sets[k] for k in order], [sides[k] for k in order], [known[k] for k in order]
+    first: dict[int, int] = {}
+    for k, component in enumerate(known):
+        parent[k] = first.setdefault(component, k)
     size = np.array([len(s) for s in sets])
     sketch = np.stack([parity_sketch(s) for s in sets])
     side = np.array(sides)
@@ -216,58 +236,98 @@ def compare(ids: list[int], sets: list[np.ndarray], sides: list[int], percent: i
     return [(ids[k], ids[find(k)]) for k in range(len(ids)) if find(k) != k]
 
 
+def fingerprint(h: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit numbers that depend on the set alone."""
+    one = int(mixed(h).sum(dtype=U)) - (1 << 63)
+    return one, int(np.bitwise_xor.reduce(mixed(h ^ U(0x1D8E4E27C47D124F)), initial=U(0))) - (1 << 63)
+
+
+def node_of(doc_id: int | None, h: np.ndarray) -> int:
+    """The id, or a number of the set's own beyond all ids."""
+    return doc_id if doc_id is not None else NAMELESS + (fingerprint(h)[1] & NAMELESS - 1)
+
+
 def classes(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, rep: the smallest id with an equal set (itself, if empty)."""
+    """doc_id, node, n_shingles, rep: the smallest node with an equal set (its own, if empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, one, two = [], [], []
-            for text in batch.column(1).to_pylist():
-                h = shingle_set(text, words)
-                n.append(len(h))
-                one.append(int(mixed(h).sum(dtype=U)) - (1 << 63))
-                two.append(int(np.bitwise_xor.reduce(mixed(h ^ U(0x1D8E4E27C47D124F)), initial=U(0))) - (1 << 63))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["doc_id", "n_shingles", "s1", "s2"])
-
-    told = cut(docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long"))
-    first = told.filter("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = shingle_set(text.as_py(), words)
+                rows.append((doc_id, node_of(doc_id, h), len(h), *fingerprint(h)))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "node", "n_shingles", "s1", "s2"])
+
+    told = cut(docs.mapInArrow(run, "doc_id long, node long, n_shingles long, s1 long, s2 long"))
+    first = told.filter("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("node").alias("rep"))
     joined = told.join(first, ["s1", "s2", "n_shingles"], "left")
-    return cut(joined.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
+    return cut(joined.select("doc_id", "node", "n_shingles", F.coalesce("rep", "node").alias("rep")))
 
 
 def runs(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(run, doc_id): documents that share a word of their sketches, equal runs once."""
+    """(run, node): documents that share a word of their sketches, equal runs once."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words with their owners: cold rows, direct rows of hot words, and a mark of each hot word."""
         seen: set[bytes] = set()  # equal sets of one split need one entry
+        keys: list[np.ndarray] = []
+        owners: list[int] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            k, node = np.concatenate(keys), np.repeat(np.array(owners, dtype=np.int64), [len(x) for x in keys])
+            names, at, counts = np.unique(k, return_inverse=True, return_counts=True)
+            kind = np.where(counts[at] >= HOT, DIRECT, COLD).astype(np.int8)
+            marks = names[counts >= HOT]
+            k, node = np.concatenate((k, marks)), np.concatenate((node, np.zeros(len(marks), np.int64)))
+            kind = np.concatenate((kind, np.full(len(marks), MARK, np.int8)))
+            keys.clear()
+            owners.clear()
+            for a in range(0, len(k), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in (k.view(np.int64), node, kind)], names=["key", "node", "kind"])
+
+        size = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                keys, owners = [], []
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    h = shingle_set(text, words)
-                    if not len(h) or doc_id is None:
-                        continue
-                    mark = mixed(h).sum(dtype=U).tobytes() + np.bitwise_xor.reduce(h).tobytes()
-                    if mark in seen:
-                        continue
-                    seen.add(mark)
-                    k = signatures(h, percent)
-                    keys.append(k.view(np.int64))
-                    owners.append(np.full(len(k), doc_id, dtype=np.int64))
-                if keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))], names=["key", "doc_id"])
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = shingle_set(text.as_py(), words)
+                if not len(h):
+                    continue
+                mark = mixed(h).sum(dtype=U).tobytes() + np.bitwise_xor.reduce(h).tobytes()
+                if mark in seen:
+                    continue
+                if len(seen) >= 1_000_000:
+                    seen.clear()  # a later copy signs once more
+                seen.add(mark)
+                k = signatures(h, percent)
+                keys.append(k)
+                owners.append(node_of(doc_id, h))
+                size += len(k)
+            if size > SIGN_KEYS:
+                yield from flush()
+                size = 0
+        if keys:
+            yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
-        left_k, left_d = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def closed(k: np.ndarray, d: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """Runs of two or more among complete keys."""
+        left: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)]
+
+        def named(k: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Rows of runs that their word names."""
+            if len(k):
+                yield pa.RecordBatch.from_arrays([pa.array(mixed(k.view(U)).view(np.int64)), pa.array(node)], names=["run", "node"])
+
+        def closed(k: np.ndarray, node: np.ndarray, kind: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Runs of two or more among complete words; marks and direct rows come first in a word."""
+            hot = np.isin(k, k[kind != COLD])
+            yield from named(k[hot & (kind != MARK)], node[hot & (kind != MARK)])
+            k, node = k[~hot], node[~hot]
+            if not len(k):
+                return
             starts = np.concatenate(([0], np.flatnonzero(k[1:] != k[:-1]) + 1))
             sizes = np.diff(np.append(starts, len(k)))
             out_r, out_d = [], []
-            spread = mixed(d.view(U) + U(0x9FB21C651E98DF25))
+            spread = mixed(node.view(U) + U(0x9FB21C651E98DF25))
             totals = np.add.reduceat(spread, starts)
             for s in np.flatnonzero(sizes > 1).tolist():
                 total = int(totals[s])
@@ -277,81 +337,135 @@ def runs(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     known.add(total)
                     a, n = int(starts[s]), int(sizes[s])
                     out_r.append(np.full(n, total, dtype=U).view(np.int64))
-                    out_d.append(d[a : a + n])
+                    out_d.append(node[a : a + n])
             if out_r:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_r)), pa.array(np.concatenate(out_d))], names=["run", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_r)), pa.array(np.concatenate(out_d))], names=["run", "node"])
 
+        streaming: int | None = None  # the word of a long run, which its word names
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k = np.concatenate((left_k, batch.column(0).to_numpy(zero_copy_only=False)))
-            d = np.concatenate((left_d, batch.column(1).to_numpy(zero_copy_only=False)))
-            last = int(np.searchsorted(k, k[-1], side="left"))  # its key may go on
+            k, node, kind = (np.concatenate((a, c.to_numpy(zero_copy_only=False))) for a, c in zip(left, batch.columns, strict=True))
+            if streaming is not None:
+                rest = int(np.searchsorted(k, streaming, side="right"))
+                yield from named(k[:rest], node[:rest])
+                k, node, kind = k[rest:], node[rest:], kind[rest:]
+                if not len(k):
+                    left = [k, node, kind]
+                    continue
+                streaming = None
+            last = int(np.searchsorted(k, k[-1], side="left"))  # its word may go on
             if last:
-                yield from closed(k[:last], d[:last])
-            left_k, left_d = k[last:], d[last:]
-        if len(left_k):
-            yield from closed(left_k, left_d)
+                yield from closed(k[:last], node[:last], kind[:last])
+            k, node, kind = k[last:], node[last:], kind[last:]
+            if len(k) > HELD:
+                streaming = int(k[0])
+                yield from named(k[kind != MARK], node[kind != MARK])
+                k, node, kind = k[:0], node[:0], kind[:0]
+            left = [k, node, kind]
+        if len(left[0]):
+            yield from closed(*left)
 
-    keyed = docs.mapInArrow(sign, "key long, doc_id long")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, "run long, doc_id long")
+    keyed = docs.mapInArrow(sign, "key long, node long, kind byte")
+    place = F.when(F.col("kind") == int(DIRECT), F.xxhash64("node", "key")).otherwise(F.col("key"))
+    return keyed.repartition(place).sortWithinPartitions("key", "kind").mapInArrow(meet, "run long, node long")
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """doc_id, packed: the texts deflated, as a large group sends them to several tasks."""
+def packed(docs: DataFrame, words: int) -> DataFrame:
+    """node, packed: the texts deflated, as a large group sends them to several tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [zlib.compress((t or "").encode(), 1) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], names=["doc_id", "packed"])
+            texts, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
+            nodes = [i if i is not None else node_of(i, shingle_set(t, words)) for i, t in zip(ids, texts, strict=True)]
+            data = [zlib.compress((t or "").encode(), 1) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(data, pa.binary())], names=["node", "packed"])
 
-    return docs.mapInArrow(run, "doc_id long, packed binary")
+    return docs.mapInArrow(run, "node long, packed binary")
 
 
-def found_links(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b): class representatives that links connect, enough to connect all that they do."""
-    spark = docs.sparkSession
-    met = runs(docs, words, percent).join(members.select("doc_id", "rep"), "doc_id").select("run", F.col("rep").alias("doc_id"))
-    met = cut(met.distinct())
-    release(spark)  # the signatures' shuffle
-    busy = met.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_runs"))
-    ranked = met.join(busy, "doc_id")
-    best = F.max(F.struct(F.col("n_runs"), (-F.col("doc_id")).alias("minus")))
-    anchor = ranked.groupBy("run").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("run", (-F.col("best.minus")).alias("grp"))
-    grouped = cut(met.join(anchor, "run").select("grp", "doc_id").distinct())
-    n_blocks = grouped.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = grouped.join(n_blocks, "grp").withColumn("own", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)"))
-    # a block meets itself and every other of its group
-    pairs = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    work = pairs.select("grp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id")
+def compared(work: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): links found; work: grp, x, y, side, node, component, of which each (grp, x, y) is compared."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: tuple | None = None
-        ids: list[int] = []
-        sets: list[np.ndarray] = []
-        sides: list[int] = []
+        held: list[tuple] = []  # node, set, side, component
+        seen: set[tuple[int, int, int]] = set()  # a row repeated under one id counts once
 
         def close() -> Iterator[pa.RecordBatch]:
-            if len(ids) > 1 and (found := compare(ids, sets, sides, percent)):
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+            if len(held) > 1 and (found := compare(*map(list, zip(*held, strict=True)), percent)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
         for batch in batches:
-            for *key, side, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *key, side, component, node, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if tuple(key) != at:
                     yield from close()
-                    at, ids, sets, sides = tuple(key), [], [], []
-                ids.append(doc_id)
-                sets.append(shingle_set(zlib.decompress(text), words))
-                sides.append(side if key[1] != key[2] else 0)
+                    at, held, seen = tuple(key), [], set()
+                mark = (node, side, hash(text))
+                if mark not in seen:
+                    seen.add(mark)
+                    held.append((node, shingle_set(zlib.decompress(text), words), side, component))
         yield from close()
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = ["grp", "x", "y"]
-    with_text = work.join(packed(docs), "doc_id").select(*key, "side", "doc_id", "packed")
-    ordered = with_text.repartitionByRange(parts, *key).sortWithinPartitions(*key)
+    names = cut(work.select("node").distinct())
+    places = bitmap(names.select(F.xxhash64("node").alias("h")), "h")
+    nameless = docs.filter("doc_id IS NULL").dropDuplicates(["text"])
+    wanted = marked(docs.filter("doc_id IS NOT NULL"), F.xxhash64("doc_id"), places).union(nameless)
+    with_text = work.join(packed(wanted, words), "node").select(*key, "side", "component", "node", "packed")
+    ordered = with_text.repartition(*key).sortWithinPartitions(*key)
     return cut(ordered.mapInArrow(check, "a long, b long"))
 
 
+def block_of(parts: str) -> Column:
+    return F.expr(f"cast(pmod(xxhash64(node), {parts}) as int)")
+
+
+def found_links(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): class representatives that links connect, enough to connect all that they do."""
+    met = runs(docs, words, percent).join(members.select("node", "rep"), "node").select("run", F.col("rep").alias("node"))
+    met = cut(met.distinct())
+    busy = cut(met.groupBy("node").agg(F.count(F.lit(1)).alias("n_runs")))
+    best = F.max(F.struct(F.col("n_runs"), (-F.col("node")).alias("minus")))
+    anchor = met.join(busy, "node").groupBy("run").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    anchor = cut(anchor.select("run", (-F.col("best.minus")).alias("grp")))
+    grouped = cut(met.join(anchor, "run").select("grp", "node").distinct())
+    sizes = cut(grouped.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
+
+    # each block with its anchor
+    placed = grouped.join(sizes, "grp").filter("node <> grp").select("grp", block_of("blocks").alias("x"), "node")
+    anchors = sizes.select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"), F.col("grp").alias("node"))
+    own = placed.union(anchors).withColumn("y", F.col("x")).withColumn("side", F.lit(0)).withColumn("component", F.col("node"))
+    found = compared(own, docs, words, percent)
+
+    # runs of large groups that still hold several components
+    large = cut(anchor.join(sizes.filter("blocks > 1"), "grp").select("run", "grp"))
+    if large.isEmpty():
+        return found
+    reached = cut(components(found))
+    told = met.join(large, "run").join(reached.select("node", F.col("component")), "node", "left").select("run", "grp", "node", F.coalesce("component", "node").alias("component"))
+    several = told.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("run")
+    rest = cut(told.join(several, "run").select("grp", "node", "component").distinct())
+    if rest.isEmpty():
+        return found
+    # blocks of one component where it fills them, else mixed ones
+    parts = rest.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n"))
+    pure = F.col("n") > BLOCK
+    mixed_n = F.sum(F.when(~pure, F.col("n"))).alias("mixed_n")
+    parts = cut(parts.join(parts.groupBy("grp").agg(mixed_n), "grp"))
+    blocks = F.when(pure, F.ceil(F.col("n") / BLOCK)).otherwise(F.ceil(F.col("mixed_n") / BLOCK)).cast("int")
+    dealt = rest.join(parts.withColumn("pure", pure).withColumn("blocks", blocks), ["grp", "component"])
+    of = F.when(F.col("pure"), F.col("component")).otherwise(F.lit(None).cast("long"))
+    dealt = cut(dealt.select("grp", "node", "component", F.struct(of.alias("of"), block_of("blocks").alias("part")).alias("block")))
+    listed = cut(dealt.select("grp", "block").distinct())
+    pairs = listed.select("grp", F.col("block").alias("x")).join(listed.select("grp", F.col("block").alias("y")), "grp")
+    pairs = pairs.filter((F.col("x") <= F.col("y")) & (F.col("x.of").isNull() | ~F.col("x.of").eqNullSafe(F.col("y.of"))))
+    left = dealt.join(pairs.withColumnRenamed("x", "block"), ["grp", "block"]).select("grp", F.col("block").alias("x"), "y", F.lit(0).alias("side"), "node", "component")
+    right = dealt.join(pairs.filter("x <> y").withColumnRenamed("y", "block"), ["grp", "block"]).select("grp", "x", F.col("block").alias("y"), F.lit(1).alias("side"), "node", "component")
+    # the components found before hold where only their parts meet
+    return found.union(compared(left.union(right), docs, words, percent))
+
+
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id for each row of ``docs``.
 
@@ -360,8 +474,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     members = classes(rows, words)
-    found = found_links(rows, members, words, percent)
-    release(docs.sparkSession)  # the shuffles of texts
-    reached = components(found).select(F.col("node").alias("rep"), "component")
-    joined = members.join(reached, "rep", "left")
-    return joined.select("doc_id", "n_shingles", F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+    reached = components(found_links(rows, members, words, percent)).select(F.col("node").alias("rep"), "component")
+    joined = members.join(reached, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    name = lambda c: F.when(F.col(c) < NAMELESS, F.col(c))
+    return joined.select("doc_id", "n_shingles", name("rep").alias("class_id"), name("component").alias("component_id"))
