@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -47,19 +45,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files that no frame refers to any more.
-
-    The cleaner follows the collector; a driver with a roomy heap may not
-    collect for hours, while the files of ended steps fill the disks.
-    """
-    for _ in range(2):
-        spark.range(1).collect()  # the scheduler holds the last job until another comes
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def seeded_sample(rows: DataFrame, group: str, order: list[str], n: int, seed: int) -> DataFrame:
     """The ``n`` first rows of each group in the order of a seeded hash of ``order``; ties by ``order``.
 
