@@ -6,24 +6,28 @@ mean over the positions that hold part of a letter.  Each direction is a light
 gated unit: z = sigmoid(E_z[byte] + U_z h), c = tanh(E_c[byte] + U_c h),
 h = z h + (1 - z) c, with the gates' input parts read from a table by byte.
 
-Texts are cut in segments of ``SEGMENT`` bytes that all run side by side, one
-step of numpy for many documents; states start at zero in each segment, in
-training as in use.  Every byte of every text is read and labelled.
+Texts run in segments of ``SEGMENT`` bytes side by side, one step of numpy for
+many documents.  Each segment enters with the ``CONTEXT`` bytes before and behind
+it: the states have read these when they come to its first byte, from either
+side, so no position is labelled out of a window cut in the middle of a word.
+Every byte of every text is read, and labelled once.
 
 Training is backpropagation through time in numpy on the driver, on a bounded
-sample: ``sample`` texts of each language in seeded order, of each a bounded
-number of segments spread over the whole text.  The languages are those that
-occur in the training rows.
-
-Edge cases: a text that is null or has no letter is ``und`` with score 1;
-rows with a null language are not learnt from; without a training row every
-text is ``und`` with score 0; ties between languages go to the first in
-code-point order; repeated rows are handled alike; further columns are ignored.
+sample: ``sample`` texts of each language in seeded order, whole, in windows of
+``WINDOW`` bytes of which each language's are drawn equally often, and in a language
+each text's.  The languages are those that occur in the training rows.
+
+Edge cases: a text that is null or has no letter (no character of the Unicode
+categories L) is ``und`` with score 1; rows with a null language or text are not
+learnt from; of texts repeated under one id and language one is learnt from;
+without a training row every text is ``und`` with score 0; ties between
+languages go to the first in code-point order; a null id stays null; repeated
+rows are handled alike; texts of any length are read whole; further columns are
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,10 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEGMENT = 64
+from tilewright.llm.common import seeded_sample
+
+SEGMENT, CONTEXT, WINDOW = 256, 32, 128
 PAD = 256
-ROWS = 6144
-LETTER = re.compile(r"[^\W\d_]")
+#: Symbols that run at once.
+SYMBOLS = 6144 * 64
 OUT = "doc_id long, lang_pred string, score double"
 #: Positions that count towards a document: parts of letters and all bytes beyond ASCII.
 COUNTS = np.array([chr(b).isalpha() or b >= 128 for b in range(256)] + [False])
@@ -56,12 +62,21 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def segments(data: bytes) -> np.ndarray:
-    """The bytes as rows of SEGMENT symbols, the last padded."""
-    n = -(-len(data) // SEGMENT)
-    flat = np.full(n * SEGMENT, PAD, dtype=np.int16)
+def windows(data: bytes) -> np.ndarray:
+    """The bytes as rows of WINDOW symbols, the last padded."""
+    n = -(-len(data) // WINDOW)
+    flat = np.full(n * WINDOW, PAD, dtype=np.int16)
     flat[: len(data)] = np.frombuffer(data, dtype=np.uint8)
-    return flat.reshape(n, SEGMENT)
+    return flat.reshape(n, WINDOW)
+
+
+def segments(data: bytes) -> list[tuple[bytes, int, int]]:
+    """Each segment with its context, and where it begins and ends in that."""
+    out = []
+    for start in range(0, len(data), SEGMENT):
+        low = max(0, start - CONTEXT)
+        out.append((data[low : start + SEGMENT + CONTEXT], start - low, min(len(data), start + SEGMENT) - low))
+    return out
 
 
 def states(net: Network, symbols: np.ndarray) -> np.ndarray:
@@ -71,9 +86,10 @@ def states(net: Network, symbols: np.ndarray) -> np.ndarray:
     both = np.stack([symbols.T, symbols.T[::-1]], axis=1)  # (T, 2, B)
     table = net.table.reshape(-1, 2 * h_size)
     offset = np.array([0, PAD + 1])[:, None]
-    h = np.zeros((2, b, h_size), dtype=np.float32)
-    all_h = np.empty((t, 2, b, h_size), dtype=np.float32)
-    pre = np.empty((2, b, 2 * h_size), dtype=np.float32)
+    kind = net.recur.dtype
+    h = np.zeros((2, b, h_size), dtype=kind)
+    all_h = np.empty((t, 2, b, h_size), dtype=kind)
+    pre = np.empty((2, b, 2 * h_size), dtype=kind)
     for k in range(t):
         np.matmul(h, net.recur, out=pre)
         pre += table[both[k] + offset]
@@ -102,7 +118,7 @@ def position_probabilities(net: Network, symbols: np.ndarray) -> np.ndarray:
     return logits.transpose(1, 0, 2)
 
 
-def train(rows: np.ndarray, targets: np.ndarray, languages: list[str], *, hidden: int = 12, steps: int = 500, batch: int = 128, rate: float = 0.02, seed: int = 7) -> Network:
+def train(rows: np.ndarray, targets: np.ndarray, languages: list[str], *, hidden: int = 12, steps: int = 500, batch: int = 64, rate: float = 0.02, seed: int = 7) -> Network:
     """Adam on the mean cross-entropy of all positions that count."""
     draw = np.random.default_rng(seed)
     k = len(languages)
@@ -118,38 +134,11 @@ def train(rows: np.ndarray, targets: np.ndarray, languages: list[str], *, hidden
         return net
     params = [net.table, net.recur, net.out, net.bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    t = rows.shape[1]
     for step in range(1, steps + 1):
         pick = draw.integers(0, len(rows), batch)
-        x, y = rows[pick], targets[pick]
-        h = states(net, x)
-        both = np.stack([x.T, x.T[::-1]], axis=1)
-        prob = position_probabilities_of(net, h)  # (T, B, K)
-        weight = COUNTS[x].astype(f).T
-        weight /= max(1.0, weight.sum())
-        prob[np.arange(t)[:, None], np.arange(batch)[None, :], y[None, :]] -= 1
-        g_logit = prob * weight[:, :, None]
-        g_out = np.concatenate([np.einsum("tbh,tbk->hk", h[:, 0], g_logit), np.einsum("tbh,tbk->hk", h[::-1, 1], g_logit)])
-        g_state = np.stack([g_logit @ net.out[:hidden].T, (g_logit @ net.out[hidden:].T)[::-1]], axis=1)
-        g_table, g_recur = np.zeros_like(net.table), np.zeros_like(net.recur)
-        g_input = np.empty((t, 2, batch, 2 * hidden), f)
-        carry = np.zeros((2, batch, hidden), f)
-        for s in range(t - 1, -1, -1):
-            before = h[s - 1] if s else np.zeros_like(h[0])
-            pre = before @ net.recur + net.table[np.arange(2)[:, None], both[s]]
-            z, c = sigmoid(pre[..., :hidden]), np.tanh(pre[..., hidden:])
-            g = carry + g_state[s]
-            g_pre = np.concatenate([g * (before - c) * z * (1 - z), g * (1 - z) * (1 - c * c)], axis=2)
-            carry = g * z + g_pre @ net.recur.transpose(0, 2, 1)
-            g_recur += before.transpose(0, 2, 1) @ g_pre
-            g_input[s] = g_pre
-        for d in (0, 1):
-            order = np.argsort(both[:, d], axis=None, kind="stable")
-            byte = both[:, d].reshape(-1)[order]
-            starts = np.concatenate(([0], np.flatnonzero(byte[1:] != byte[:-1]) + 1))
-            g_table[d, byte[starts]] = np.add.reduceat(g_input[:, d].reshape(-1, 2 * hidden)[order], starts)
+        found = gradients(net, rows[pick], targets[pick])[1]
         lr = rate * (1 - step / (steps + 1)) + 1e-4
-        for p, g, m, v in zip(params, [g_table, g_recur, g_out, g_logit.sum(axis=(0, 1))], first, second, strict=True):
+        for p, g, m, v in zip(params, found, first, second, strict=True):
             g = np.clip(g, -1, 1)
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -157,6 +146,40 @@ def train(rows: np.ndarray, targets: np.ndarray, languages: list[str], *, hidden
     return net
 
 
+def gradients(net: Network, x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Mean cross-entropy of the positions that count, and its gradients by table, recur, out and bias."""
+    (batch, t), hidden, kind = x.shape, net.recur.shape[1], net.recur.dtype
+    h = states(net, x)
+    both = np.stack([x.T, x.T[::-1]], axis=1)
+    prob = position_probabilities_of(net, h)  # (T, B, K)
+    weight = COUNTS[x].astype(kind).T
+    weight /= max(1.0, weight.sum())
+    steps, rows = np.arange(t)[:, None], np.arange(batch)[None, :]
+    loss = -float((np.log(prob[steps, rows, y[None, :]]) * weight).sum())
+    prob[steps, rows, y[None, :]] -= 1
+    g_logit = prob * weight[:, :, None]
+    g_out = np.concatenate([np.einsum("tbh,tbk->hk", h[:, 0], g_logit), np.einsum("tbh,tbk->hk", h[::-1, 1], g_logit)])
+    g_state = np.stack([g_logit @ net.out[:hidden].T, (g_logit @ net.out[hidden:].T)[::-1]], axis=1)
+    g_table, g_recur = np.zeros_like(net.table), np.zeros_like(net.recur)
+    g_input = np.empty((t, 2, batch, 2 * hidden), kind)
+    carry = np.zeros((2, batch, hidden), kind)
+    for s in range(t - 1, -1, -1):
+        before = h[s - 1] if s else np.zeros_like(h[0])
+        pre = before @ net.recur + net.table[np.arange(2)[:, None], both[s]]
+        z, c = sigmoid(pre[..., :hidden]), np.tanh(pre[..., hidden:])
+        g = carry + g_state[s]
+        g_pre = np.concatenate([g * (before - c) * z * (1 - z), g * (1 - z) * (1 - c * c)], axis=2)
+        carry = g * z + g_pre @ net.recur.transpose(0, 2, 1)
+        g_recur += before.transpose(0, 2, 1) @ g_pre
+        g_input[s] = g_pre
+    for d in (0, 1):
+        order = np.argsort(both[:, d], axis=None, kind="stable")
+        byte = both[:, d].reshape(-1)[order]
+        starts = np.concatenate(([0], np.flatnonzero(byte[1:] != byte[:-1]) + 1))
+        g_table[d, byte[starts]] = np.add.reduceat(g_input[:, d].reshape(-1, 2 * hidden)[order], starts)
+    return loss, [g_table, g_recur, g_out, g_logit.sum(axis=(0, 1))]
+
+
 def position_probabilities_of(net: Network, h: np.ndarray) -> np.ndarray:
     """(T, B, K) from the states that ``states`` gave."""
     size = h.shape[-1]
@@ -172,35 +195,32 @@ def predict(net: Network, texts: list[str | None]) -> list[tuple[str, float]]:
         return answers
     sums = np.zeros((len(texts), len(net.languages)))
     counts = np.zeros(len(texts))
-    rows: list[np.ndarray] = []
-    owners: list[np.ndarray] = []
-    waiting = 0
+    waiting: dict[int, list[tuple[int, bytes, int, int]]] = {}  # by width: text, bytes, begin, end
 
-    def flush() -> None:
-        nonlocal waiting
-        if not rows:
+    def flush(width: int) -> None:
+        held = waiting.pop(width, [])
+        if not held:
             return
-        x, owner = np.concatenate(rows), np.concatenate(owners)
-        for at in range(0, len(x), ROWS):
-            part, own = x[at : at + ROWS], owner[at : at + ROWS]
-            weight = COUNTS[part].astype(np.float32)
-            pooled = np.einsum("btk,bt->bk", position_probabilities(net, part), weight)
-            np.add.at(sums, own, pooled)
-            np.add.at(counts, own, weight.sum(axis=1))
-        rows.clear()
-        owners.clear()
-        waiting = 0
-
-    live = [bool(t) and LETTER.search(t) is not None for t in texts]
+        x = np.full((len(held), width), PAD, dtype=np.int16)
+        weight = np.zeros(x.shape, dtype=np.float32)
+        for row, (_, data, begin, end) in enumerate(held):
+            x[row, : len(data)] = np.frombuffer(data, dtype=np.uint8)
+            weight[row, begin:end] = 1
+        weight *= COUNTS[x]
+        owner = np.array([k for k, _, _, _ in held])
+        np.add.at(sums, owner, np.einsum("btk,bt->bk", position_probabilities(net, x), weight))
+        np.add.at(counts, owner, weight.sum(axis=1))
+
+    live = [bool(t) and any(map(str.isalpha, t)) for t in texts]
     for k, text in enumerate(texts):
         if live[k]:
-            x = segments(text.encode())
-            rows.append(x)
-            owners.append(np.full(len(x), k))
-            waiting += len(x)
-            if waiting >= ROWS:
-                flush()
-    flush()
+            for part in segments(text.encode()):
+                width = -(-len(part[0]) // 64) * 64
+                waiting.setdefault(width, []).append((k, *part))
+                if len(waiting[width]) * width >= SYMBOLS:
+                    flush(width)
+    for width in list(waiting):
+        flush(width)
     for k in range(len(texts)):
         if live[k]:
             p = sums[k] / max(1.0, counts[k])
@@ -209,33 +229,26 @@ def predict(net: Network, texts: list[str | None]) -> list[tuple[str, float]]:
     return answers
 
 
-def fit_on(docs: DataFrame, *, sample: int = 150, segments_each: int = 24, seed: int = 7, **options) -> Network:
+def fit_on(docs: DataFrame, *, sample: int = 150, seed: int = 7, **options) -> Network:
     """Network for the languages of ``docs`` (doc_id, text, lang), the rows to learn from.
 
-    Of each language the ``sample`` first texts in seeded order are read whole;
-    up to ``segments_each`` segments, evenly spread, stay.
+    Of each language the ``sample`` first texts in seeded order are read, whole.
     """
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
-    rows, targets = [], []
-    drawn = None
-    for lang in languages:  # ids first, so that only the sample's texts travel
-        part = known.filter(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
-        drawn = part if drawn is None else drawn.union(part)
-    texts = known.join(F.broadcast(drawn.distinct()), "doc_id").select("doc_id", "lang", "text") if languages else known.limit(0)  # sample ids a language
-    for r in sorted(texts.collect(), key=lambda r: (r["lang"], r["doc_id"], r["text"])):
-        x = segments(r["text"].encode())
-        if len(x):
-            x = x[np.unique(np.linspace(0, len(x) - 1, min(len(x), segments_each)).astype(int))]
-            rows.append(x)
-            targets.append(np.full(len(x), languages.index(r["lang"])))
-    if not rows:
-        return train(np.zeros((0, SEGMENT), np.int16), np.zeros(0, np.int64), languages, seed=seed, **options)
-    x, y = np.concatenate(rows), np.concatenate(targets)
-    # each language is drawn equally often
-    order = np.random.default_rng(seed)
-    least = max(np.bincount(y, minlength=len(languages)).max(), 1)
-    pick = np.concatenate([order.choice(np.flatnonzero(y == k), least) for k in range(len(languages)) if (y == k).any()])
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    # ids first, so that only the sample's texts travel
+    drawn = seeded_sample(known.select("doc_id", "lang").distinct(), "lang", ["doc_id"], sample, seed)
+    texts = known.join(F.broadcast(drawn), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))  # sample ids a language
+    found = sorted((r["lang"], r["doc_id"], r["text"]) for r in texts.collect())
+    languages = sorted({lang for lang, _, _ in found})
+    rows = [windows(text.encode()) for _, _, text in found]
+    if not sum(map(len, rows)):
+        return train(np.zeros((0, WINDOW), np.int16), np.zeros(0, np.int64), languages, seed=seed, **options)
+    x = np.concatenate(rows)
+    y = np.repeat([languages.index(lang) for lang, _, _ in found], [len(r) for r in rows])
+    # each language is drawn equally often, and in it each text, so that short ones count
+    chance = np.concatenate([np.full(len(r), 1 / max(1, len(r))) for r in rows])
+    chance /= np.bincount(y, weights=chance, minlength=len(languages))[y]
+    pick = np.random.default_rng(seed).choice(len(x), 4 * len(x), p=chance / chance.sum())
     return train(x[pick], y[pick], languages, seed=seed, **options)
 
 
@@ -244,8 +257,8 @@ def identify(docs: DataFrame, net: Network, *, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 answers = predict(net, part.column(1).to_pylist())
                 columns = [part.column(0), pa.array([a for a, _ in answers], pa.string()), pa.array([s for _, s in answers], pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "lang_pred", "score"])
