@@ -8,18 +8,22 @@ is an orphan that nothing points to.
 
 Index.  Lines are range-partitioned by key (the host reversed, then the rest of
 the URL) and id, packed in compressed blocks of ``BLOCK_LINES`` lines, and a
-sparse directory keeps the first key and place of each block, in key order.  A
-lookup searches the directory by bisection, reads that block with one range
-read, searches its lines by bisection, and reads the record with another.
+sparse directory keeps the first and last key and the place of each block, in
+key order.  A lookup searches the directory by bisection, reads that block with
+one range read, searches its lines by bisection, and reads each record captured
+under the key and id with another.  A task reads no more of the directory than
+its keys span, a batch of them at a time.
 
 Files are reached through pyarrow's file systems (file, hdfs, s3, gs by the
 scheme of ``spark.checkpoint.dir``), so driver and executors share only that
 folder.
 
 Edge cases: null html is an empty payload; a null URL has the key of the empty
-URL and no target; a null id is archived as NO_ID and comes back as null;
-repeated rows are separate records, of which any of
-equal id and payload may be read; an empty table gives no files and no rows.
+URL and no target; a null id sorts behind all others and comes back as null;
+rows repeated under one URL and id are separate records, each read back, whether
+their payloads are equal or not; of equal payloads all of the smallest id are
+responses; texts of any length are whole; further columns are ignored, whatever
+their names; an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import hashlib
 import io
 import uuid
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -40,10 +44,9 @@ from pyspark.sql import functions as F
 from tilewright.llm.common import scratch
 
 BLOCK_LINES = 512
-#: Stands for a null id inside the archives; it sorts behind all others.
-NO_ID = (1 << 63) - 1
-LINES = "key string, page_id long, file string, at long, length long"
-DIRECTORY = "key string, page_id long, file string, at long, length long, lines int"
+LINES = "key string, nameless int, page_id long, file string, at long, length long"
+DIRECTORY = "key string, nameless int, page_id long, last_key string, last_nameless int, last_id long, file string, at long, length long"
+Capture = tuple[str, int, int]  # key, 1 for a null id, id or 0
 OUT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -65,22 +68,22 @@ def url_key(url: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), tail)
 
 
-def known_id(column: str) -> Column:
-    """The id, NO_ID for null."""
-    return F.coalesce(F.col(column).cast("long"), F.lit(NO_ID))
+def named(column: str) -> list[Column]:
+    """nameless and page_id: a null id as 1 and 0."""
+    return [F.col(column).isNull().cast("int").alias("nameless"), F.coalesce(F.col(column).cast("long"), F.lit(0)).alias("page_id")]
 
 
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, unique: str = "") -> bytes:
     """One WARC record as a gzip member."""
     body = b"" if refers_to is not None else payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{page_id}{unique}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: text/html; charset=utf-8",
@@ -122,25 +125,28 @@ def write_archives(pages: DataFrame, root: str, *, id_col: str = "page_id", url_
         name, out, at = f"{_name('part')}.warc.gz", None, 0
         for batch in batches:
             rows = []
-            for key, page_id, url, html, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, nameless, page_id, url, html, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     fs.create_dir(f"{base}/archive", recursive=True)
                     out = fs.open_output_stream(f"{base}/archive/{name}", compression=None)
                 payload = html.encode()
-                member = record(page_id, url, payload, digest_of(payload), None if first == page_id or len(payload) < least else first)
+                own = None if nameless else page_id
+                refers_to = None if first == own or len(payload) < least else first
+                # a response is named by its id, so that revisits can refer to it
+                member = record(own, url, payload, digest_of(payload), refers_to, "" if refers_to is None else f":{name}:{at}")
                 out.write(member)
-                rows.append((key, page_id, f"archive/{name}", at, len(member)))
+                rows.append((key, nameless, page_id, f"archive/{name}", at, len(member)))
                 at += len(member)
             yield _batch(rows, LINES)
         if out is not None:
             out.close()
 
     body = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.select(known_id(id_col).alias("page_id"), F.col(url_col).alias("url"), body.alias("html"))
-    # equal payloads: the same SHA-256 and length; combined before the shuffle
-    keyed = rows.select("page_id", "url", "html", F.sha2(F.col("html").cast("binary"), 256).alias("sha"))
-    firsts = keyed.groupBy("sha").agg(F.min("page_id").alias("first"))
-    chosen = keyed.join(firsts, "sha").select(url_key(F.col("url")).alias("key"), "page_id", "url", "html", "first")
+    rows = pages.select(*named(id_col), F.col(url_col).alias("url"), body.alias("html"))
+    # equal payloads: the same SHA-256; combined before the shuffle
+    keyed = rows.withColumn("sha", F.sha2(F.col("html").cast("binary"), 256))
+    firsts = keyed.groupBy("sha").agg(F.min(F.when(F.col("nameless") == 0, F.col("page_id"))).alias("first"))
+    chosen = keyed.join(firsts, "sha").select(url_key(F.col("url")).alias("key"), "nameless", "page_id", "url", "html", "first")
     chosen.mapInArrow(run, LINES).write.parquet(f"{root}/lines")
     return pages.sparkSession.read.parquet(f"{root}/lines")
 
@@ -169,9 +175,9 @@ def write_index(lines: DataFrame, root: str) -> DataFrame:
             if out is None:
                 fs.create_dir(f"{base}/index", recursive=True)
                 out = fs.open_output_stream(f"{base}/index/{name}", compression=None)
-            data = zlib.compress("\n".join("\t".join((_quoted(k), str(i), f, str(a), str(n))) for k, i, f, a, n in held).encode(), 6)
+            data = zlib.compress("\n".join("\t".join((_quoted(k), *map(str, rest))) for k, *rest in held).encode(), 6)
             out.write(data)
-            entry = (held[0][0], held[0][1], f"index/{name}", at, len(data), len(held))
+            entry = (*held[0][:3], *held[-1][:3], f"index/{name}", at, len(data))
             at += len(data)
             held.clear()
             return entry
@@ -189,7 +195,8 @@ def write_index(lines: DataFrame, root: str) -> DataFrame:
             out.close()
 
     parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = lines.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id")
+    order = ["key", "nameless", "page_id"]
+    ordered = lines.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ordered.mapInArrow(run, DIRECTORY).write.parquet(f"{root}/directory")
     return lines.sparkSession.read.parquet(f"{root}/directory")
 
@@ -198,16 +205,24 @@ class Reader:
     """Lookups through the two levels; one lives in a task."""
 
     def __init__(self, root: str):
-        import pyarrow.dataset as ds
-
         self.fs, self.base = file_system(root)
-        # the sparse directory: one row for BLOCK_LINES captures
-        table = ds.dataset(f"{self.base}/directory", filesystem=self.fs, format="parquet").to_table()
-        entries = sorted(zip(*(table.column(c).to_pylist() for c in ("key", "page_id", "file", "at", "length")), strict=True))
-        self.firsts = [e[:2] for e in entries]
-        self.places = [e[2:] for e in entries]
+        self.firsts: list[Capture] = []
+        self.places: list[tuple[str, int, int]] = []
         self.files: dict[str, object] = {}
-        self.block: tuple[int, list, list] = (-1, [], [])
+        self.block: tuple[tuple, list[Capture], list] = ((), [], [])
+
+    def open(self, first: str = "", last: str | None = None) -> Reader:
+        """Reads the part of the sparse directory whose blocks may hold keys from ``first`` to ``last``."""
+        import pyarrow.compute as pc
+        import pyarrow.dataset as ds
+
+        wanted = pc.field("last_key") >= first
+        if last is not None:
+            wanted &= pc.field("key") <= last
+        table = ds.dataset(f"{self.base}/directory", filesystem=self.fs, format="parquet").to_table(filter=wanted)
+        entries = sorted(zip(*(table.column(c).to_pylist() for c in ("key", "nameless", "page_id", "file", "at", "length")), strict=True))
+        self.firsts, self.places = [e[:3] for e in entries], [e[3:] for e in entries]
+        return self
 
     def range(self, name: str, at: int, length: int) -> bytes:
         if name not in self.files:
@@ -216,20 +231,22 @@ class Reader:
             self.files[name] = self.fs.open_input_file(f"{self.base}/{name}")
         return self.files[name].read_at(length, at)
 
-    def find(self, key: str, page_id: int) -> tuple[dict[str, str], bytes] | None:
-        """The record captured under a key and id."""
-        k = bisect_right(self.firsts, (key, page_id)) - 1
-        if k < 0:
-            return None
-        if self.block[0] != k:
-            lines = [x.split("\t") for x in zlib.decompress(self.range(*self.places[k])).decode().split("\n")]
-            self.block = (k, [(_unquoted(x[0]), int(x[1])) for x in lines], lines)
-        _, keys, lines = self.block
-        j = bisect_right(keys, (key, page_id)) - 1
-        if j < 0 or keys[j] != (key, page_id):
-            return None
-        name, at, length = lines[j][2:]
-        return parse(self.range(name, int(at), int(length)))
+    def lines(self, k: int) -> tuple[list[Capture], list]:
+        """Captures and places of a block."""
+        if self.block[0] != self.places[k]:
+            rows = [x.split("\t") for x in zlib.decompress(self.range(*self.places[k])).decode().split("\n")]
+            self.block = (self.places[k], [(_unquoted(x[0]), int(x[1]), int(x[2])) for x in rows], [(x[3], int(x[4]), int(x[5])) for x in rows])
+        return self.block[1:]
+
+    def find(self, key: str, page_id: int | None) -> Iterator[tuple[dict[str, str], bytes]]:
+        """The records captured under a key and id; they may go on in the next blocks."""
+        wanted = (key, int(page_id is None), page_id or 0)
+        k = max(0, bisect_left(self.firsts, wanted) - 1)
+        while k < len(self.firsts) and self.firsts[k] <= wanted:
+            captures, places = self.lines(k)
+            for j in range(bisect_left(captures, wanted), bisect_right(captures, wanted)):
+                yield parse(self.range(*places[j]))
+            k += 1
 
 
 def _unquoted(text: str) -> str:
@@ -257,25 +274,32 @@ def captured(headers: dict[str, str], content: bytes) -> tuple[int, str, str, in
 
 
 def read_back(pages: DataFrame, root: str, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """Every row of ``pages`` looked up in the archives below ``root``."""
+    """Every capture of the URLs and ids of ``pages``, looked up in the archives below ``root``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = None
+        reader = Reader(root)
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0)
+            reader.open(keys[0].as_py(), keys[batch.num_rows - 1].as_py())
             rows = []
-            for key, page_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                reader = reader or Reader(root)
-                found = reader.find(key, page_id)
-                if found is None:
-                    raise ValueError(f"page {page_id} isn't in the index")
-                rows.append((page_id, *captured(*found)))
+            for key, nameless, page_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, found = None if nameless else page_id, 0
+                for found, record in enumerate(reader.find(key, own), 1):
+                    rows.append((own, *captured(*record)))
+                    if len(rows) == 10_000:
+                        yield _batch(rows, OUT)
+                        rows = []
+                if not found:
+                    raise ValueError(f"page {own} isn't in the index")
             yield _batch(rows, OUT)
 
-    wanted = pages.select(url_key(F.col(url_col)).alias("key"), known_id(id_col).alias("page_id"))
+    order = ["key", "nameless", "page_id"]
+    wanted = pages.select(url_key(F.col(url_col)).alias("key"), *named(id_col)).distinct()
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # in key order, so a task reads each block once
-    read = wanted.repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(run, OUT)
-    return read.withColumns({c: F.nullif(F.col(c), F.lit(NO_ID)) for c in ("page_id", "refers_to")})
+    return wanted.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, OUT)
 
 
 def archive(pages: DataFrame, root: str | None = None, *, least: int = 0) -> DataFrame:
