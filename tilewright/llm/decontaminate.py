@@ -3,10 +3,11 @@
 A document is contaminated by an item when some passage of it is within
 ``edits`` times the item's words of the item, in word edit distance.
 
-1. Places.  Of an item's n words at most e are edited, so at least one stretch of
-   (n - e) / (e + 1) words is whole: a window is laid wherever a document holds
-   that stretch's first words (three at most) of an item.  This loses nothing
-   and leaves item-sized windows in few places.
+1. Places.  Of an item's n words at most e are edited, so of any e + 1 parts one
+   is whole: a window is laid wherever a document holds the seed of a part, its
+   rarest words in a row (three at most) among all items.  This loses nothing,
+   leaves item-sized windows in few places, and a phrase that many items share
+   is no seed where its part has another.
 2. Ranges.  The passage is then within e words of the window's place, on either
    side; ranges of one item that touch are searched as one.
 3. Exact search: the smallest edit distance of the item to any passage of a range,
@@ -15,21 +16,25 @@ A document is contaminated by an item when some passage of it is within
 
 No range is left to sampling, so all passages within the bound are found.
 
-Items come to the executors in blocks of ``ITEM_BLOCK`` items, so the memory of
-a task is bounded however many there are; documents are never shuffled.
+Items come to the executors in blocks of at most ``ITEM_BLOCK`` items and about
+``WORD_BLOCK`` words, so the memory of a task is bounded however many there are;
+documents are never shuffled.
 
 Words are runs of letters and digits, in lower case.  Edge cases: null and empty
 texts hold nothing; items of few words have a bound of 0 edits and are found as
 exact word sequences, in ordinary prose too (``least`` words are asked for, one
-unless told otherwise); items without a word are in no document; items with a null id are found like others, with a null item_id; equal
-items each count; repeated rows give repeated results; an empty table of either
-kind gives none.
+unless told otherwise); items without a word are in no document; items with a
+null id are found like others, with a null item_id; equal items each count; of
+passages equally near the first is told; texts of any length are read whole;
+repeated rows give repeated results; further columns are ignored by ``find`` and
+kept by ``clean``, whatever their names; an empty table of either kind gives none.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,7 +44,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORDS = re.compile(r"[^\W_]+")
-ITEM_BLOCK = 20_000
+ITEM_BLOCK, WORD_BLOCK = 20_000, 1 << 20
+#: Multiplier of the seeds' 64-bit codes; equal codes of different seeds only add places to search.
+RADIX, MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 OUT = "doc_id long, item_id long, start long, distance long, item_words long"
 Hit = tuple[int, int, int, int]  # item number, start, distance, words
 
@@ -119,19 +126,28 @@ class Matcher:
             for w in words:
                 self.vocabulary.setdefault(w, len(self.vocabulary) + 1)
         self.ids = [[self.vocabulary[w] for w in words] for _, words in self.items]
-        self.radix = len(self.vocabulary) + 1
+        shared: dict[int, Counter] = {}  # by length of the seeds: in how many items
+        for ids in self.ids:
+            q = self.seed_words(len(ids))
+            shared.setdefault(q, Counter()).update({self.code(ids[at : at + q]) for at in range(len(ids) - q + 1)})
         grams: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for k, ids in enumerate(self.ids):
-            e = edit_bound(len(ids), self.edits)
-            q = min(3, -(-(len(ids) - e) // (e + 1)))
-            for at in range(len(ids) - q + 1):
-                grams.setdefault(q, {}).setdefault(self.code(ids[at : at + q]), []).append((k, at))
-        self.grams = {q: (np.array(sorted(g), dtype=np.int64), g) for q, g in grams.items()}
+            n, q = len(ids), self.seed_words(len(ids))
+            parts = edit_bound(n, self.edits) + 1
+            for part in range(parts):
+                low, high = part * n // parts, (part + 1) * n // parts
+                code, at = min(((self.code(ids[at : at + q]), at) for at in range(low, high - q + 1)), key=lambda x: (shared[q][x[0]], x[1]))
+                grams.setdefault(q, {}).setdefault(code, []).append((k, at))
+        self.grams = {q: (np.array(sorted(g), dtype=np.uint64), g) for q, g in grams.items()}
+
+    def seed_words(self, n: int) -> int:
+        """Words of the seeds of an item of ``n`` words: three, or its smallest part."""
+        return min(3, n // (edit_bound(n, self.edits) + 1))
 
     def code(self, ids: list[int]) -> int:
         value = 0
         for x in ids:
-            value = value * self.radix + x
+            value = (value * RADIX + x) & MASK
         return value
 
     def places_in(self, ids: np.ndarray) -> set[tuple[int, int]]:
@@ -141,11 +157,11 @@ class Matcher:
             if len(ids) < q:
                 continue
             whole = np.ones(len(ids) - q + 1, dtype=bool)
-            value = np.zeros(len(ids) - q + 1, dtype=np.int64)
+            value = np.zeros(len(ids) - q + 1, dtype=np.uint64)
             for t in range(q):
                 part = ids[t : len(ids) - q + 1 + t]
                 whole &= part > 0
-                value = value * self.radix + part
+                value = value * np.uint64(RADIX) + part.astype(np.uint64)
             at = np.flatnonzero(whole)
             if not len(at):
                 continue
@@ -194,13 +210,15 @@ def matchers(items: DataFrame, *, item_col: str = "item_id", text_col: str = "te
     """Matchers for the items, a block at a time in the order of their ids."""
     rows = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(text_col).alias("text")).orderBy("item_id", "text")
     block: list[tuple[int | None, list[str]]] = []
+    size = 0
     for row in rows.toLocalIterator():
         words = words_of(row["text"])
         if words and len(words) >= least:
             block.append((row["item_id"], words))
-        if len(block) == ITEM_BLOCK:
+            size += len(words)
+        if len(block) == ITEM_BLOCK or size >= WORD_BLOCK:
             yield Matcher(block, edits)
-            block = []
+            block, size = [], 0
     if block:
         yield Matcher(block, edits)
 
