@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tilewright.llm import decontaminate, exact_dedup, html_extract, jaccard_join, language_id, mixing, token_counts, toxicity, url_filter, warc
 from tilewright.llm.common import crc_mod, table
@@ -52,11 +53,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    urls = url_filter.sampled_urls(pages)
-    trees = url_filter.fit_trees(urls, [url_filter.word_label(u) for u in urls])
+    trees = url_filter.fit_on(pages.select("url", url_filter.word_label(F.col("url")).alias("label")))
     return url_filter.judge(pages, URL_RULES, trees)
 
 
+def llm_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op8 that SQL can express."""
+    return op8_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_source_mixing": op9_source_mixing,
     "op10_exact_dedup": op10_exact_dedup,
+    "llm_url_rules": llm_url_rules,
 }
 
 OP10_SQL = r"""
@@ -169,4 +175,20 @@ SELECT page_id, payload_bytes,
 FROM h JOIN f USING (k)
 """
 
-ORACLES: dict[str, str] = {"op2_jaccard_join": OP2_SQL, "op5_warc_index": OP5_SQL, "op9_source_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+URL_RULES_SQL = r"""
+WITH s AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), u AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(regexp_replace(rest, '^[^/?#]*', ''), '^[^?#]*') AS path FROM s
+), r(rule, rule_host, prefix) AS (
+  VALUES ('com/en/', 'com', '/en/'), ('example.com/en/7', 'example.com', '/en/7'), ('net/de/', 'net', '/de/'),
+         ('example.net/de/8', 'example.net', '/de/8'), ('org/es/', 'org', '/es/')
+), m AS (
+  SELECT page_id, max_by(rule, length(rule)) AS rule FROM u JOIN r
+    ON (host = rule_host OR suffix(host, '.' || rule_host)) AND starts_with(path, prefix) GROUP BY page_id
+)
+SELECT u.page_id, host, path, rule FROM u LEFT JOIN m ON u.page_id = m.page_id
+"""
+
+ORACLES: dict[str, str] = {"llm_url_rules": URL_RULES_SQL, "op2_jaccard_join": OP2_SQL, "op5_warc_index": OP5_SQL, "op9_source_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL}

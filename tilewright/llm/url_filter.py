@@ -6,30 +6,43 @@ URLs are judged by boosted trees on lexical features, trained on labelled URLs:
 lengths, depth, digit ratios, entropy, counts of parameters, hyphens and
 labels, and the smoothed rate of blocked URLs under the host's suffix.
 
-The trees are fitted in numpy on a bounded sample of labelled URLs; rules and
-trees are parameters of one pass over the table, without a shuffle.
+Labels come as a table (``fit_on``: url, label) or, where there is none, from a
+list of host words as in public blocklists (``word_label``).  The sample is
+bounded and as large for either label; whole sites are held out of the fit
+(``HELD_OUT`` of 10, by a hash of the site's name), so ``agreement`` tells how
+the trees do on sites that they have never seen.
+
+The trees are fitted in numpy; rules and trees are parameters of one pass over
+the table, without a shuffle.
 
 Edge cases: a null URL or one without "://" has an empty host and path, fits no
-rule and is judged by its features; ties between equal features share a leaf;
-with no labelled URL, or labels of one kind only, everything else is allowed.
+rule and is judged by its features; null labels are left out; ties between equal
+features share a leaf; repeated rows are judged alike; further columns are
+ignored, whatever their names; with no labelled URL, or labels of one kind only,
+everything else is allowed; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.llm.common import seeded_sample
+
 OUT = "page_id long, host string, path string, rule string, verdict string, score double"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Parts of host names that mark a URL as labelled "block".
-BLOCKED_WORDS = frozenset("ads advert adserver bet bets betting casino cheap doubleclick farm gambling pills poker porn spam spammer track tracker viagra warez xxx".split())
+BLOCKED_WORDS = frozenset("ads adult advert adserver bet bets betting casino cheap doubleclick farm gambling loans pills poker porn sex spam spammer track tracker viagra warez xxx".split())
+#: So many tenths of the sites are held out of the fit.
+HELD_OUT = 2
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -182,15 +195,39 @@ def _walk(tree: tuple, x: np.ndarray) -> np.ndarray:
     return value[node]
 
 
-def word_label(url: str | None) -> int:
+def word_label(url: Column) -> Column:
     """Distant label of a URL: 1 if a part of its host is a blocked word."""
-    return int(not BLOCKED_WORDS.isdisjoint(split_url(url)[0].replace("-", ".").split(".")))
+    at = F.instr(url, "://")
+    host = F.regexp_extract(F.when(at > 0, F.substr(url, at + 3)).otherwise(""), r"^[^/?#]*", 0)
+    return F.coalesce(F.arrays_overlap(F.split(F.lower(host), "[.-]"), F.array(*map(F.lit, sorted(BLOCKED_WORDS)))).cast("int"), F.lit(0))
+
+
+def site_of(url: str | None) -> str:
+    """The registered name that a URL's host belongs to: its last three labels, as in name.example.com."""
+    return ".".join(split_url(url)[0].split(".")[-3:])
+
+
+def held_out(url: str | None) -> bool:
+    return zlib.crc32(site_of(url).encode()) % 10 < HELD_OUT
+
+
+def labelled_urls(urls: DataFrame, *, sample: int = 4000, seed: int = 7) -> list[tuple[str, int]]:
+    """At most ``sample`` different (url, label) of each label, the first in the order of a seeded hash."""
+    known = urls.filter(F.col("label").isin(0, 1) & F.col("url").isNotNull()).groupBy("url").agg(F.max("label").cast("int").alias("label"))
+    return sorted((r["url"], r["label"]) for r in seeded_sample(known, "label", ["url"], sample, seed).collect())
+
+
+def fit_on(urls: DataFrame, **options) -> Trees:
+    """Trees for labelled URLs (url, label), without those of held-out sites."""
+    known = [(u, y) for u, y in labelled_urls(urls, **options) if not held_out(u)]
+    return fit_trees([u for u, _ in known], [y for _, y in known])
 
 
-def sampled_urls(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", sample: int = 8000, seed: int = 7) -> list[str | None]:
-    """At most ``sample`` URLs, the first in the order of a seeded hash."""
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).orderBy(F.xxhash64("id", F.lit(seed)), "id", "url").limit(sample)
-    return [r["url"] for r in rows.collect()]
+def agreement(urls: DataFrame, trees: Trees, **options) -> dict[int, tuple[int, int]]:
+    """By label: (URLs judged as labelled, all), on the sites held out of the fit."""
+    known = [(u, y) for u, y in labelled_urls(urls, **options) if held_out(u)]
+    said = trees.score([u for u, _ in known]) >= 0.5
+    return {label: (sum(int(s) == y for s, (_, y) in zip(said, known, strict=True) if y == label), sum(y == label for _, y in known)) for label in (0, 1)}
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], trees: Trees, *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
