@@ -25,7 +25,9 @@ of all rows is spread over many tasks.  Everything is DataFrame functions.
 Only the table of sources, whose size the number of named sources bounds, is
 ever in one task; the windows over it are marked.  Edge cases: null text has
 size 0; a null source is a source; documents of size 0 take 0; an empty table
-gives an empty result; rows repeated under one id are separate documents.
+gives an empty result; rows repeated under one id are separate documents of one
+shard; rows without an id are dealt by their texts; texts of any length count
+whole; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -102,7 +104,8 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     ``blocks``: a block has total // blocks tokens, at least one, so a source's
     error of half a block is the same part of the mix at every size.
     """
-    sized = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size")))
+    own = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("-:"), F.xxhash64(text_col).cast("string")))  # rows without an id spread by their texts
+    sized = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), own.alias("own")))
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     laid = targets(per_source, weights, ratio, most)
     block = F.greatest(F.lit(1).cast("long"), F.floor(F.col("total") / blocks).cast("long"))
@@ -114,7 +117,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source",
     side = F.broadcast(sources) if small else sources
 
     placed = sized.withColumnRenamed("source", "_source").join(side, F.col("_source").eqNullSafe(F.col("source"))).drop("_source")
-    key = seeded(seed, F.col("doc_id"))
+    key = seeded(seed, F.col("own"))
     placed = placed.select("doc_id", "source", "size", "source_size", "target", "rank", "block", "full", "quota", key.alias("key"), (number(key) % F.col("n_shards")).alias("shard"))
 
     shards = placed.filter(~F.col("full") & (F.col("size") > 0)).groupBy("rank", "shard").agg(F.sum("size").alias("shard_size"), F.max("quota").alias("quota"))
