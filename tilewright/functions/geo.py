@@ -65,6 +65,11 @@ def hilbert(z: Column, x: Column, y: Column) -> Column:
     return F.aggregate(steps, start, step)["d"]
 
 
+def hilbert_at(z: int, x: Column, y: Column) -> Column:
+    """Place of a tile on the curve of a fixed zoom."""
+    return hilbert(F.lit(z), x, y)
+
+
 def zoom_base(z: Column) -> Column:
     return ((F.pow(F.lit(4.0), z) - 1) / 3).cast("bigint")
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilewright.sources import files
+
 BUCKET = 4096
 
 
@@ -60,14 +62,28 @@ def blob_offsets(blobs: DataFrame) -> DataFrame:
 def tile_runs(tiles: DataFrame) -> DataFrame:
     """start_id, run_length, digest: following tile ids that share a payload.
 
-    The order is cut by tile id, so a payload with a third of all tiles (open
-    sea) is no key of any shuffle.
+    Runs are made inside each bucket of the tile id first, from one reading of the
+    tiles; then the first run of a bucket joins the last of the one before where
+    they touch and agree.  A payload with a third of all tiles (open sea) is no
+    key of any shuffle.
     """
-    marked = tiles.select("tile_id", F.sha2(F.col("payload").cast("binary"), 256).alias("digest"))
-    seen = previous(marked, "tile_id", ["tile_id", "digest"])
-    begins = ~F.coalesce((F.col("prev_tile_id") == F.col("tile_id") - 1) & (F.col("prev_digest") == F.col("digest")), F.lit(False))
-    numbered = running(seen, "tile_id", begins.cast("bigint"), "run")
-    return numbered.groupBy("run").agg(F.min("tile_id").alias("start_id"), F.count(F.lit(1)).alias("run_length"), F.max("digest").alias("digest")).drop("run")
+    w = Window.partitionBy("_b").orderBy("tile_id")
+    marked = _bucketed(tiles.select("tile_id", F.sha2(F.col("payload").cast("binary"), 256).alias("digest")), "tile_id")
+    begins = ~F.coalesce((F.lag("tile_id").over(w) == F.col("tile_id") - 1) & (F.lag("digest").over(w) == F.col("digest")), F.lit(False))
+    island = F.max(F.when(begins, F.col("tile_id"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    parts = marked.withColumn("start_id", island).groupBy("_b", "start_id").agg(F.count(F.lit(1)).alias("run_length"), F.max("digest").alias("digest"))
+    parts = files.kept(parts, "runs")
+    last = F.max_by(F.struct("start_id", (F.col("start_id") + F.col("run_length")).alias("end"), "digest"), "start_id").alias("last")
+    ends = parts.groupBy("_b").agg(F.min_by(F.struct("start_id", "digest"), "start_id").alias("first"), last)
+    order = Window.partitionBy(F.lit(0)).orderBy("_b")  # a row for each bucket, 2^17 at most
+    before = F.lag("last").over(order)
+    ends = ends.withColumn("goes_on", F.coalesce((before["end"] == F.col("first.start_id")) & (before["digest"] == F.col("first.digest")), F.lit(False)))
+    # where the run that a bucket ends with began: not in this bucket if it is its only one and goes on
+    own = F.when(~(F.col("goes_on") & (F.col("first.start_id") == F.col("last.start_id"))), F.col("last.start_id"))
+    ends = ends.withColumn("began", F.last(own, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    joined = parts.join(ends.select("_b", F.col("first.start_id").alias("first_start"), "goes_on", "began"), "_b")
+    start = F.when(F.col("goes_on") & (F.col("start_id") == F.col("first_start")), F.col("began")).otherwise(F.col("start_id"))
+    return joined.groupBy(start.alias("start_id")).agg(F.sum("run_length").alias("run_length"), F.max("digest").alias("digest"))
 
 
 def directory_columns(runs: DataFrame) -> DataFrame:
@@ -103,8 +119,9 @@ def run_overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def directory_merge(a: DataFrame, b: DataFrame) -> DataFrame:
     """Maximal spans of tile ids over which both archives are constant: a full outer interval join."""
-    cuts = a.select(F.col("start_id").alias("at")).union(a.select(F.col("start_id") + F.col("run_length")))
-    cuts = cuts.union(b.select("start_id")).union(b.select(F.col("start_id") + F.col("run_length"))).distinct()
+    a, b = files.kept(a, "runs"), files.kept(b, "runs")
+    ends = F.explode(F.array(F.col("start_id"), F.col("start_id") + F.col("run_length"))).alias("at")
+    cuts = files.kept(a.select(ends).union(b.select(ends)).distinct(), "cuts")
     back = previous(cuts.withColumn("key", -F.col("at")), "key", ["at"])  # the next cut is the one before in falling order
     spans = back.filter("prev_at IS NOT NULL").select(F.col("at").alias("span_start"), (F.col("prev_at") - F.col("at")).alias("span_length"))
     left = run_lookup(spans, a, "span_start").select("span_start", "span_length", F.col("digest").alias("a"))
@@ -112,6 +129,18 @@ def directory_merge(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.filter("a IS NOT NULL OR b IS NOT NULL")
 
 
+def hot_splits(buckets: DataFrame, target: int = 64 << 20, most: int = 32) -> DataFrame:
+    """bucket, sub, piece: pieces of sort buckets that are over twice the target, by quantiles of their bytes.
+
+    buckets: bucket, sub (its at most 4,096 parts in order), bytes.  A bucket gets
+    2 to ``most`` pieces of about ``target`` bytes; others are one piece.
+    """
+    w = Window.partitionBy("bucket")
+    told = buckets.withColumn("total", F.sum("bytes").over(w)).withColumn("before", F.sum("bytes").over(w.orderBy("sub").rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes"))
+    pieces = F.when(F.col("total") > 2 * target, F.greatest(F.lit(2), F.least(F.lit(most), F.ceil(F.col("total") / target)))).otherwise(F.lit(1))
+    return told.select("bucket", "sub", F.floor(F.col("before") * pieces / F.col("total")).cast("int").alias("piece"), pieces.cast("int").alias("pieces"))
+
+
 def digests(features: DataFrame, tile: str, text: Column) -> DataFrame:
     """tile, n, digest: a multiset hash, equal however the features are ordered."""
     hashed = features.select(tile, F.md5(text.cast("binary")).alias("h"))

@@ -187,6 +187,51 @@ def ocean_stats(tiles: DataFrame, compression: int = GZIP) -> DataFrame:
     )
 
 
+def layer_tallies(tiles: DataFrame, compression: int = GZIP) -> DataFrame:
+    """layer, features, points, lines, polygons, vertices of tiles (tile_id, payload); what isn't known is skipped."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[str, list[int]] = {}
+            for payload in batch.column("payload").to_pylist():
+                for name, features in mvt.decode(inflated(payload, compression), strict=False).items():
+                    row = sums.setdefault(name, [0] * 5)
+                    for f in features:
+                        row[0] += 1
+                        row[f.kind] += 1
+                        row[4] += sum(map(len, f.parts))
+            columns = list(zip(*((k, *v) for k, v in sums.items()), strict=True)) if sums else [[]] * 6
+            kinds = [pa.string()] + [pa.int64()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names="layer features points lines polygons vertices".split())
+
+    told = tiles.select("payload").mapInArrow(read, "layer string, features long, points long, lines long, polygons long, vertices long")
+    return told.groupBy("layer").agg(*[F.sum(c).alias(c) for c in "features points lines polygons vertices".split()])
+
+
+def compare_tiles(a: DataFrame, b: DataFrame) -> DataFrame:
+    """layer, and each tally on side a and side b, over the tiles that both have."""
+    both = a.select("tile_id").join(b.select("tile_id"), "tile_id").distinct()
+    sides = [layer_tallies(side.join(both, "tile_id", "left_semi")).select("layer", *[F.col(c).alias(f"{c}_{name}") for c in "features points lines polygons vertices".split()]) for side, name in ((a, "a"), (b, "b"))]
+    met = sides[0].join(sides[1], "layer", "full")
+    return met.fillna(0)
+
+
+def rings_dump(tiles: DataFrame, compression: int = GZIP) -> DataFrame:
+    """tile_id, layer, feature_id, ring, vertices, area2, simple: each ring of the polygons of tiles, to compare with another engine."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for tile_id, payload in zip(batch.column("tile_id").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                for name, features in mvt.decode(inflated(payload, compression), strict=False).items():
+                    rows += [(tile_id, name, f.id, k, len(r), int(area2(r)), is_simple(r)) for f in features if f.kind == mvt.POLYGON for k, r in enumerate(f.parts)]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names="tile_id layer feature_id ring vertices area2 simple".split())
+
+    return tiles.select("tile_id", "payload").mapInArrow(read, "tile_id long, layer string, feature_id long, ring int, vertices int, area2 long, simple boolean")
+
+
 def ring_table(tile: bytes) -> list[tuple[str, int, int, int, int, str, bool]]:
     """(layer, feature, ring, vertices, doubled area, turn, simple) of a tile's polygons."""
     rows = []

@@ -150,6 +150,74 @@ def zoom_gated_attrs(spark: SparkSession, d: str) -> DataFrame:
     return at.select("id", "z", F.expr("size(filter(attrs, a -> a.from_zoom <= z))").cast("bigint").alias("attrs"))
 
 
+STREET_VALUES = " UNION ALL ".join(
+    f"SELECT id, '{k}' AS key, {z} AS from_zoom, {v} AS value FROM s WHERE {c}"
+    for k, z, c, v in [
+        ("kind", 0, "true", "regexp_replace(raw, '_link$', '')"),
+        ("link", 11, "raw LIKE '%\\_link' ESCAPE '\\'", "'true'"),
+        ("rail", 0, "rail", "'true'"),
+        ("tunnel", 11, O.TUNNEL, "'true'"),
+        ("bridge", 11, O.BRIDGE, "'true'"),
+        ("oneway", 14, "NOT rail AND tags['oneway'] IN ('yes', '1', 'true', '-1')", "'true'"),
+        ("oneway_reverse", 14, "NOT rail AND tags['oneway'] = '-1'", "'true'"),
+    ]
+    + [(k, 11, f"tags['{k}'] IS NOT NULL", f"tags['{k}']") for k in ("tracktype", "surface", "service")]
+    + [(k, 14, f"tags['{k}'] IS NOT NULL", f"tags['{k}']") for k in ("bicycle", "horse")]
+)
+
+
+def attribute_rows(matches: DataFrame, layer: str) -> DataFrame:
+    """id, key, from_zoom, value: a row for each attribute of a layer's matches."""
+    own = matches.filter(F.col("layer") == O.S.LAYER_ID[layer]).select("id", F.explode("attrs").alias("a"))
+    return own.select("id", "a.key", F.col("a.from_zoom").cast("int").alias("from_zoom"), "a.value")
+
+
+@query(
+    f"""WITH {O.WAYS}, s0 AS (SELECT id, tags, {O.choose([(k, v, v) for k, v, _, _ in O.S.STREETS], 2)} AS raw FROM ways WHERE NOT closed
+), s AS (SELECT *, raw IN ({O.quoted(O.S.RAIL)}) AS rail FROM s0 WHERE raw IS NOT NULL) {STREET_VALUES}"""
+)
+def street_attrs(spark: SparkSession, d: str) -> DataFrame:
+    """Every attribute of every street, with the zoom that it starts at."""
+    return attribute_rows(C.classify(tagged_ways(spark, d).filter(~F.col("closed")), "open_way"), "streets")
+
+
+POI_VALUES = " UNION ALL ".join(
+    f"SELECT id, '{key}' AS key, {value} AS value FROM s WHERE {where}"
+    for key, value, where in [("kind", "value", "true")]
+    + [(k, "value", f"category = '{k}'") for k in O.S.POIS if k != "mountain_pass"]
+    + [(k.replace(":", "_"), f"tags['{k}']", f"coalesce(tags['{k}'], '') <> ''") for k in ("name", "name:en", "name:de")]
+    + [(k, f"tags['addr:{k}']", f"tags['addr:{k}'] IS NOT NULL") for k in ("housename", "housenumber")]
+    + [
+        ("cuisine", "tags['cuisine']", "category = 'amenity' AND value IN ('restaurant', 'fast_food', 'pub', 'bar', 'cafe') AND tags['cuisine'] IS NOT NULL"),
+        ("atm", "(coalesce(tags['atm'] = 'yes', false))::VARCHAR", "category = 'amenity' AND value = 'bank'"),
+        ("information", "tags['information']", "category = 'tourism' AND value = 'information' AND tags['information'] IS NOT NULL"),
+    ]
+    + [(f"recycling:{k}", f"(coalesce(tags['recycling:{k}'] = 'yes', false))::VARCHAR", "category = 'amenity' AND value = 'recycling'") for k in ("glass_bottles", "paper", "clothes", "scrap_metal")]
+)
+POI_CATEGORY = "CASE " + " ".join(f"WHEN tags['{k}'] IN ({O.quoted(v)}) THEN '{'natural' if k == 'mountain_pass' else k}'" for k, v in O.S.POIS.items()) + " END"
+
+
+@query(f"WITH {O.PTS}, s AS (SELECT id, tags, {POI_CATEGORY} AS category, {O.POI_VALUE} AS value FROM pts WHERE {O.POI}) {POI_VALUES}")
+def poi_attrs(spark: SparkSession, d: str) -> DataFrame:
+    """Every attribute of every point of interest but its elevation, which parse_ele covers."""
+    return attribute_rows(point_matches(spark, d), "pois").filter("key <> 'ele'").select("id", "key", "value")
+
+
+HEIGHTS = {"12,5 m": 12.5, "40 ft": 12.192, "6'2\"": 1.8796}
+
+
+@query(
+    f"""WITH {O.WAYS}, h(raw, metres) AS (VALUES {", ".join(f"({O.quoted([k])}, {v}::DOUBLE)" for k, v in HEIGHTS.items())})
+SELECT id, round(a.metres, 6) AS height, round(b.metres, 6) AS min_height, CASE tags['building:levels'] WHEN '3' THEN 3.0::DOUBLE WHEN '2,5;3' THEN 2.5::DOUBLE END AS levels
+FROM ways LEFT JOIN h a ON a.raw = tags['height'] LEFT JOIN h b ON b.raw = tags['min_height'] WHERE closed AND tags['building'] IS NOT NULL AND tags['building'] <> 'no'"""
+)
+def building_attrs(spark: SparkSession, d: str) -> DataFrame:
+    """Heights and levels of all buildings."""
+    m = C.classify(tagged_ways(spark, d).filter("closed"), "closed_way").filter(F.col("layer") == O.S.LAYER_ID["buildings"])
+    value = lambda key: F.round(F.expr(f"get(filter(attrs, a -> a.key = '{key}'), 0).value").cast("double"), 6)
+    return m.select("id", value("height").alias("height"), value("min_height").alias("min_height"), value("building:levels").alias("levels"))
+
+
 @query(f"WITH {O.PTS} SELECT id, {O.POI} AS is_poi, NOT {O.POI} AND (tags['addr:housenumber'] IS NOT NULL OR tags['addr:housename'] IS NOT NULL) AS is_address FROM pts")
 def poi_anti_addresses(spark: SparkSession, d: str) -> DataFrame:
     poi = C.poi_category()[0].isNotNull()

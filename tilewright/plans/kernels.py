@@ -16,6 +16,7 @@ from tilewright.kernels import polygons as P
 from tilewright.kernels import rings as K
 from tilewright.operators import archive as AR
 from tilewright.operators import build as BU
+from tilewright.operators import inspect as IN
 from tilewright.operators import ocean as OC
 from tilewright.plans import build as PB
 from tilewright.plans import oracles as O
@@ -212,6 +213,34 @@ def mvt_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return _rows(local_tiles(spark, d), decode, "tile_id long, given int, features int, points int")
 
 
+LATTICE = f"""WITH {O.FV}, c AS (
+  SELECT way, way // 16 AS tile_id, pos, node % 10000 AS k, closed, lag(node % 10000) OVER (PARTITION BY way ORDER BY pos) AS before,
+         lead(node % 10000) OVER (PARTITION BY way ORDER BY pos) AS after FROM fv
+), f AS (
+  SELECT tile_id, way, closed, count(*) FILTER (WHERE before IS NULL OR before <> k) - CASE WHEN closed AND count(*) FILTER (WHERE before IS NULL OR before <> k) > 1 THEN 1 ELSE 0 END AS points,
+         sum(CASE WHEN after IS NOT NULL THEN (k % 8) * (after // 8) - (after % 8) * (k // 8) ELSE 0 END) * 262144 AS area2
+  FROM c GROUP BY tile_id, way, closed
+), g AS (SELECT * FROM f WHERE points >= CASE WHEN closed THEN 3 ELSE 2 END)"""
+
+
+@query(
+    f"""{LATTICE}, s AS (SELECT CASE WHEN closed THEN 'land' ELSE 'streets' END AS layer, closed, points, tile_id % 11 <> 0 AS on_b FROM g
+), t AS (SELECT tile_id FROM g GROUP BY tile_id HAVING tile_id % 11 <> 0)
+SELECT layer, count(*) AS features_a, 0::BIGINT AS points_a, count(*) FILTER (WHERE NOT closed) AS lines_a, count(*) FILTER (WHERE closed) AS polygons_a, sum(points)::BIGINT AS vertices_a,
+       count(*) AS features_b, 0::BIGINT AS points_b, count(*) FILTER (WHERE NOT closed) AS lines_b, count(*) FILTER (WHERE closed) AS polygons_b, sum(points)::BIGINT AS vertices_b FROM s WHERE on_b GROUP BY layer"""
+)
+def compare_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Layers of two sets of tiles over the tiles that both have; one lacks every eleventh."""
+    tiles = local_tiles(spark, d)
+    return IN.compare_tiles(tiles, tiles.filter("tile_id % 11 <> 0"))
+
+
+@query(f"{LATTICE} SELECT tile_id, 'land' AS layer, way AS feature_id, 0::INT AS ring, points::INT AS vertices, area2::BIGINT AS area2 FROM g WHERE closed")
+def rings_dump(spark: SparkSession, d: str) -> DataFrame:
+    """Rings of encoded tiles as an engine reads them."""
+    return IN.rings_dump(local_tiles(spark, d)).drop("simple")
+
+
 @query(f"{T.RUNS} SELECT start_id, run_length, length, digest FROM ra JOIN bl USING (digest)")
 def archive_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """An archive written in parts by tile range and read back through the data source."""

@@ -412,3 +412,15 @@ def ocean_band(spark: SparkSession, d: str) -> DataFrame:
     r = B.table(spark, d, "nation").select(key.alias("id"), ((key * 37 % 300 + 20) / 400.0).alias("x0"), ((key * 37 % 300 + 60) / 400.0).alias("x1"), F.explode(F.sequence(F.lit(4).cast("bigint"), F.lit(8).cast("bigint"))).alias("z"))
     n = F.pow(F.lit(2.0), F.col("z"))
     return r.select("id", "z", F.greatest(F.lit(0), F.ceil(F.col("x0") * n + 0.03125)).cast("bigint").alias("first"), F.least(n - 1, F.floor(F.col("x1") * n - 0.03125) - 1).cast("bigint").alias("last"))
+
+
+@query(
+    """WITH s AS (SELECT l_orderkey // 512 AS bucket, l_orderkey // 64 % 8 AS sub, sum(l_partkey)::BIGINT AS bytes FROM lineitem GROUP BY 1, 2
+), t AS (SELECT *, sum(bytes) OVER (PARTITION BY bucket) AS total, sum(bytes) OVER (PARTITION BY bucket ORDER BY sub) - bytes AS before FROM s
+), p AS (SELECT *, CASE WHEN total > 2 * 4000 THEN greatest(2, least(6, ceil(total / 4000))) ELSE 1 END AS pieces FROM t)
+SELECT bucket, sub, floor(before * pieces / total)::INT AS piece, pieces::INT AS pieces FROM p"""
+)
+def hot_bucket_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Sort buckets cut into pieces of about equal bytes where one holds too many."""
+    s = B.table(spark, d, "lineitem").groupBy(F.floor(F.col("l_orderkey") / 512).alias("bucket"), (F.floor(F.col("l_orderkey") / 64) % 8).alias("sub")).agg(F.sum("l_partkey").alias("bytes"))
+    return A.hot_splits(s, target=4000, most=6)

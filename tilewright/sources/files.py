@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import pyarrow.fs as fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def located(path: str) -> tuple[fs.FileSystem, str]:
@@ -52,3 +52,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     root = root or spark.sparkContext._jvm.System.getProperty("java.io.tmpdir")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str = "kept") -> DataFrame:
+    """``df`` computed once into a table in the shared folder, and read from there."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
