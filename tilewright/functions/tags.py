@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -76,30 +76,40 @@ def is_rail() -> Column:
     return F.expr(any_of("_street", RAIL))
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that stands in the plan once, however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def decimal(token: Column) -> Column:
     """A decimal number with the comma policy: grouping, unless one comma is the point."""
-    t = F.trim(token)
-    commas = F.length(t) - F.length(F.replace(t, F.lit(","), F.lit("")))
-    bare = F.replace(t, F.lit(","), F.lit(""))
-    grouped = F.length(F.substring_index(t, ",", -1)) == 3
-    grouped = grouped & (F.length(F.substring_index(t, ",", 1)) > 0)
-    plain = F.when(commas == 0, t).when(t.contains("."), bare).when((commas == 1) & ~grouped, F.replace(t, F.lit(","), F.lit("."))).otherwise(bare)
-    number = F.when(plain.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), plain.try_cast("double"))
-    return F.when(F.abs(number) < float("inf"), number)
+
+    def plain(t: Column) -> Column:
+        commas = F.length(t) - F.length(F.replace(t, F.lit(","), F.lit("")))
+        bare = F.replace(t, F.lit(","), F.lit(""))
+        grouped = (F.length(F.substring_index(t, ",", -1)) == 3) & (F.length(F.substring_index(t, ",", 1)) > 0)
+        return F.when(commas == 0, t).when(t.contains(".") | (commas > 1) | grouped, bare).otherwise(F.replace(t, F.lit(","), F.lit(".")))
+
+    def number(t: Column) -> Column:
+        return F.when(t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), t.try_cast("double"))
+
+    finite = lambda n: F.when(F.abs(n) < float("inf"), n)
+    return let(let(F.trim(token), plain), lambda t: let(number(t), finite))
 
 
 def length_m(raw: Column) -> Column:
     """Metres of a length: bare or metre values, feet, or feet and inches."""
-    value = F.trim(F.substring_index(F.lower(F.trim(raw)), ";", 1))
-    inches_form = value.rlike("^[^']*'.*\"$")
-    feet_part = F.substring_index(value, "'", 1)
-    inches_part = F.trim(F.regexp_replace(F.regexp_replace(value, "^[^']*'", ""), '"$', ""))
-    size = F.abs(decimal(feet_part)) * 0.3048 + F.abs(decimal(inches_part)) * 0.0254
-    both = F.when(F.ltrim(feet_part).startswith("-"), -size).otherwise(size)
-    feet = value.rlike("(feet|ft|')$")
-    number = decimal(F.regexp_extract(F.regexp_replace(value, "(feet|ft|'|meters|meter|m)$", ""), r"^\s*(\S+)", 1))
-    single = F.when(feet, number * 0.3048).otherwise(number)
-    return F.when(inches_form & both.isNotNull(), both).otherwise(single)
+
+    def metres(value: Column) -> Column:
+        inches_form = value.rlike("^[^']*'.*\"$")
+        feet_part = F.substring_index(value, "'", 1)
+        inches_part = F.trim(F.regexp_replace(F.regexp_replace(value, "^[^']*'", ""), '"$', ""))
+        size = F.abs(decimal(feet_part)) * 0.3048 + F.abs(decimal(inches_part)) * 0.0254
+        both = F.when(inches_form, size * F.when(F.ltrim(feet_part).startswith("-"), -1.0).otherwise(1.0))
+        number = decimal(F.regexp_extract(F.regexp_replace(value, "(feet|ft|'|meters|meter|m)$", ""), r"^\s*(\S+)", 1))
+        return F.coalesce(both, number * F.when(value.rlike("(feet|ft|')$"), 0.3048).otherwise(1.0))
+
+    return let(F.trim(F.substring_index(F.lower(F.trim(raw)), ";", 1)), metres)
 
 
 def strict_int(raw: Column) -> Column:
@@ -110,10 +120,12 @@ def strict_int(raw: Column) -> Column:
 
 def count(raw: Column) -> Column:
     """A count, whole or decimal, not negative."""
-    token = F.trim(F.substring_index(raw, ";", 1))
-    whole = F.when(~token.contains(".") & ~token.contains(","), strict_int(token).cast("double"))
-    number = F.coalesce(whole, decimal(token))
-    return F.when((token != "") & (number >= 0), number)
+
+    def counted(token: Column) -> Column:
+        whole = F.when(~token.contains(".") & ~token.contains(","), strict_int(token).cast("double"))
+        return let(F.when(token != "", F.coalesce(whole, decimal(token))), lambda n: F.when(n >= 0, n))
+
+    return let(F.trim(F.substring_index(raw, ";", 1)), counted)
 
 
 def admin_level(raw: Column) -> Column:
@@ -124,8 +136,8 @@ def admin_level(raw: Column) -> Column:
 
 def elevation(raw: Column) -> Column:
     """Whole metres, half away from zero; values beyond 64 bits are refused."""
-    metres = F.round(length_m(raw))
-    return F.when((metres >= -9.223372036854775e18) & (metres < 9.223372036854775e18), metres.cast("bigint"))
+    fits = lambda metres: F.when((metres >= -9.223372036854775e18) & (metres < 9.223372036854775e18), metres.cast("bigint"))
+    return let(F.round(length_m(raw)), fits)
 
 
 def ref_lines(ref: Column) -> dict[str, Column]:

@@ -18,9 +18,10 @@ from tilewright.functions import tags as T
 KINDS = {"node": "N", "open_way": "O", "closed_way": "C", "multipolygon": "M"}
 
 
-def attr(key: str, value: Column, from_zoom: int = 0) -> Column:
-    """An attribute, or null without a value."""
-    return F.when(value.isNotNull(), F.struct(F.lit(key).alias("key"), F.lit(from_zoom).alias("from_zoom"), value.cast("string").alias("value")))
+def attr(key: str, value: Column, from_zoom: int = 0, simple: bool = True) -> Column:
+    """An attribute, or null without a value; ``simple`` values are cheap to stand in the plan twice."""
+    told = lambda v: F.when(v.isNotNull(), F.struct(F.lit(key).alias("key"), F.lit(from_zoom).alias("from_zoom"), v.cast("string").alias("value")))
+    return told(value) if simple else T.let(value, told)
 
 
 def when_true(key: str, condition: Column, from_zoom: int = 0) -> Column:
@@ -128,7 +129,7 @@ def rules(kind: str) -> dict[str, Column]:
     site = T.first_match(S.SITES, 2)
     if "sites" in takes:
         out["sites"] = match("sites", site.isNotNull(), 14, site)
-    size = [attr(k, T.length_m(tag(k))) for k in ("height", "min_height")] + [attr("building:levels", T.count(tag("building:levels")))]
+    size = [attr(k, T.length_m(tag(k)), simple=False) for k in ("height", "min_height")] + [attr("building:levels", T.count(tag("building:levels")), simple=False)]
     if "buildings" in takes:
         out["buildings"] = match("buildings", has("building") & (tag("building") != "no"), 14, None, size)
 
@@ -189,7 +190,7 @@ def rules(kind: str) -> dict[str, Column]:
         attr("sport", F.when(is_poi("leisure", "pitch", "sports_centre"), tag("sport"))),
         attr("tower:type", F.when(is_poi("man_made", "tower"), tag("tower:type"))),
         attr("information", F.when(is_poi("tourism", "information"), tag("information"))),
-        attr("ele", F.when(category == "natural", T.elevation(tag("ele")))),
+        attr("ele", F.when(category == "natural", T.elevation(tag("ele"))), simple=False),
     ]
     own = [attr(k, F.when(category == k, value)) for k in S.POIS if k != "mountain_pass"]
     if "pois" in takes:
