@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
+import pyarrow as pa
 import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,14 +47,22 @@ def move(old: str, new: str) -> None:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name below the one that driver and executors share.
+    """A new folder name below the one that driver and executors share; it goes when the driver ends.
 
     The cluster names it in ``spark.checkpoint.dir``; where that is unset, as in
     tests in one process, Spark's own local folder stands in.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     root = root or spark.sparkContext._jvm.System.getProperty("java.io.tmpdir")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(discard, path)
+    return path
+
+
+def discard(folder: str) -> None:
+    """Removes a folder if it is there and its file system can be reached."""
+    with contextlib.suppress(OSError, pa.ArrowInvalid):
+        remove(folder)
 
 
 def kept(df: DataFrame, name: str = "kept") -> DataFrame:
