@@ -35,6 +35,21 @@ def from_metres(x: Column, y: Column) -> tuple[Column, Column]:
     return x / EARTH + 0.5, 0.5 - y / EARTH
 
 
+def zigzag(v: Column) -> Column:
+    """A signed 32-bit number as the tile format packs it: small sizes first, of either sign."""
+    return F.call_function("shiftleft", v.cast("bigint"), F.lit(1)).bitwiseXOR(F.call_function("shiftright", v.cast("bigint"), F.lit(31)))
+
+
+def command(kind: Column, count: Column) -> Column:
+    """A command integer: 1 move, 2 line, 7 close, with its repeats."""
+    return F.call_function("shiftleft", count.cast("bigint"), F.lit(3)).bitwiseOR(kind.cast("bigint"))
+
+
+def simplify_tolerance(z: Column) -> Column:
+    """One pixel of a zoom in the unit square."""
+    return 1 / (256 * F.pow(F.lit(2.0), z))
+
+
 def tile_index(p: Column, z: Column) -> Column:
     """Tile number of a unit coordinate, clamped to the world."""
     n = F.pow(F.lit(2.0), z)

@@ -241,6 +241,41 @@ def rings_dump(spark: SparkSession, d: str) -> DataFrame:
     return IN.rings_dump(local_tiles(spark, d)).drop("simple")
 
 
+RING_EDGES = f"""{LATTICE}, r0 AS (
+  SELECT way, k, pos, row_number() OVER (PARTITION BY way ORDER BY pos) - 1 AS i FROM c JOIN g USING (way) WHERE c.closed AND (before IS NULL OR before <> k)
+), r AS (SELECT r0.way, i, k % 8 AS x, k // 8 AS y, points AS n FROM r0 JOIN g USING (way) WHERE i < points
+), e AS (SELECT p.way, p.i, p.n, p.x AS x0, p.y AS y0, q.x AS x1, q.y AS y1 FROM r p JOIN r q ON p.way = q.way AND q.i = (p.i + 1) % p.n
+), t AS (
+  SELECT e.way, (e.x1 - e.x0) * (f.y0 - e.y0) - (e.y1 - e.y0) * (f.x0 - e.x0) AS s, (e.x1 - e.x0) * (f.y1 - e.y0) - (e.y1 - e.y0) * (f.x1 - e.x0) AS t,
+         (f.x1 - f.x0) * (e.y0 - f.y0) - (f.y1 - f.y0) * (e.x0 - f.x0) AS u, (f.x1 - f.x0) * (e.y1 - f.y0) - (f.y1 - f.y0) * (e.x1 - f.x0) AS v,
+         f.x0 BETWEEN least(e.x0, e.x1) AND greatest(e.x0, e.x1) AND f.y0 BETWEEN least(e.y0, e.y1) AND greatest(e.y0, e.y1) AS on_c,
+         f.x1 BETWEEN least(e.x0, e.x1) AND greatest(e.x0, e.x1) AND f.y1 BETWEEN least(e.y0, e.y1) AND greatest(e.y0, e.y1) AS on_d,
+         e.x0 BETWEEN least(f.x0, f.x1) AND greatest(f.x0, f.x1) AND e.y0 BETWEEN least(f.y0, f.y1) AND greatest(f.y0, f.y1) AS on_a,
+         e.x1 BETWEEN least(f.x0, f.x1) AND greatest(f.x0, f.x1) AND e.y1 BETWEEN least(f.y0, f.y1) AND greatest(f.y0, f.y1) AS on_b
+  FROM e JOIN e f ON e.way = f.way AND f.i >= e.i + 2 AND NOT (e.i = 0 AND f.i = e.n - 1)
+), crossed AS (
+  SELECT way, count(*) AS meets FROM t WHERE s * t < 0 AND u * v < 0 OR s = 0 AND on_c OR t = 0 AND on_d OR u = 0 AND on_a OR v = 0 AND on_b GROUP BY way
+), turns AS (
+  SELECT p.way, count(DISTINCT sign((p.x1 - p.x0) * (q.y1 - q.y0) - (p.y1 - p.y0) * (q.x1 - q.x0))) FILTER (WHERE (p.x1 - p.x0) * (q.y1 - q.y0) <> (p.y1 - p.y0) * (q.x1 - q.x0)) AS turns
+  FROM e p JOIN e q ON p.way = q.way AND q.i = (p.i + 1) % p.n GROUP BY p.way
+), steps AS (SELECT way, i, 'x' AS axis, sign(x1 - x0) AS d FROM e WHERE x1 <> x0 UNION ALL SELECT way, i, 'y', sign(y1 - y0) FROM e WHERE y1 <> y0
+), flips AS (
+  SELECT way, axis, count(*) FILTER (WHERE d <> before) AS flips FROM (
+    SELECT *, coalesce(lag(d) OVER (PARTITION BY way, axis ORDER BY i), last(d) OVER (PARTITION BY way, axis ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS before FROM steps) GROUP BY way, axis
+), bent AS (SELECT way, bool_and(flips = 2) AND count(*) = 2 AS fair FROM flips GROUP BY way)"""
+
+
+@query(f"{RING_EDGES} SELECT g.way AS feature_id, coalesce(meets, 0) = 0 AS simple, turns = 1 AND coalesce(fair, false) AS convex FROM g LEFT JOIN crossed USING (way) JOIN turns USING (way) LEFT JOIN bent USING (way) WHERE closed")
+def lattice_rings(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the rings of encoded tiles are simple and convex."""
+
+    def judge(row):
+        features = mvt.decode(gzip.decompress(row.payload)).get("land", [])
+        return [(f.id, K.is_simple(f.parts[0]), K.is_convex(f.parts[0])) for f in features]
+
+    return _rows(local_tiles(spark, d), judge, "feature_id long, simple boolean, convex boolean")
+
+
 @query(f"{T.RUNS} SELECT start_id, run_length, length, digest FROM ra JOIN bl USING (digest)")
 def archive_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """An archive written in parts by tile range and read back through the data source."""

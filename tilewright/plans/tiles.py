@@ -424,3 +424,31 @@ def hot_bucket_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Sort buckets cut into pieces of about equal bytes where one holds too many."""
     s = B.table(spark, d, "lineitem").groupBy(F.floor(F.col("l_orderkey") / 512).alias("bucket"), (F.floor(F.col("l_orderkey") / 64) % 8).alias("sub")).agg(F.sum("l_partkey").alias("bytes"))
     return A.hot_splits(s, target=4000, most=6)
+
+
+@query(f"WITH {O.PTS} SELECT id, round(degrees(atan(sinh(pi() * (1 - 2 * {O.Y})))), 7) AS lat, round({O.X} * 360 - 180, 7) AS lon FROM pts")
+def unproject_points(spark: SparkSession, d: str) -> DataFrame:
+    """Points projected and back: degrees again."""
+    p = B.points(spark, d)
+    return p.select("id", F.round(G.lat_of(G.merc_y(F.col("lat_e7"))), 7).alias("lat"), F.round(G.merc_x(F.col("lon_e7")) * 360 - 180, 7).alias("lon"))
+
+
+@query("SELECT p_partkey AS id, round(((p_partkey * 7919 % 40000000) - 20000000) / 40075016.686::DOUBLE + 0.5, 12) AS x, round(0.5 - ((p_partkey * 104729 % 40000000) - 20000000) / 40075016.686::DOUBLE, 12) AS y FROM part")
+def metres_to_unit(spark: SparkSession, d: str) -> DataFrame:
+    """Web Mercator metres in the unit square."""
+    key = F.col("p_partkey")
+    x, y = G.from_metres(key * 7919 % 40_000_000 - 20_000_000, key * 104729 % 40_000_000 - 20_000_000)
+    return B.table(spark, d, "part").select(key.alias("id"), F.round(x, 12).alias("x"), F.round(y, 12).alias("y"))
+
+
+@query("SELECT l_orderkey AS id, l_linenumber::BIGINT AS ln, CASE WHEN v >= 0 THEN 2 * v ELSE -2 * v - 1 END AS packed, l_linenumber * 8 + CASE l_linenumber % 3 WHEN 0 THEN 7 ELSE l_linenumber % 3 END AS command FROM (SELECT *, (l_partkey - l_suppkey * 31)::BIGINT AS v FROM lineitem)")
+def geometry_integers(spark: SparkSession, d: str) -> DataFrame:
+    """Deltas and commands as the tile format packs them."""
+    ln = F.col("l_linenumber")
+    kind = F.when(ln % 3 == 0, 7).otherwise(ln % 3)
+    return B.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), ln.cast("bigint").alias("ln"), G.zigzag(F.col("l_partkey") - F.col("l_suppkey") * 31).alias("packed"), G.command(kind, ln).alias("command"))
+
+
+@query("SELECT z::INT AS z, 1.0::DOUBLE / (256 * (1 << z)) AS tolerance FROM range(15) t(z)")
+def simplify_tolerances(spark: SparkSession, d: str) -> DataFrame:
+    return spark.range(15).select(F.col("id").cast("int").alias("z"), G.simplify_tolerance(F.col("id")).alias("tolerance"))
