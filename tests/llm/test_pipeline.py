@@ -84,3 +84,15 @@ def test_rows_without_an_id_of_their_own_are_decided_on_one_by_one(spark, folder
     assert len(texts) == 6 and {" ".join(x) for x in (b, c, e)} < set(texts) and None in texts
     assert sum(" ".join(x) in texts for x in (a, near_a)) == sum(" ".join(x) in texts for x in (d, near_d)) == 1
     assert len(told(corpus_pipeline.drop_near_copies(spark, docs, folder[0]))) == 5 + 3  # no two texts without words are near
+
+
+def test_columns_of_any_name_are_carried_along(spark, folder):
+    names = "id ids docs n sha _id _sha _row _sha_ kept score predicted h node rep component _key _rank".split()
+    rows = [(k // 2, " ".join(words(40, k % 5, 3000)), "en", "a", 1, *range(len(names))) for k in range(12)] + [(None, "x y z", None, None, None, *range(len(names)))] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder[0])
+        assert out.columns == docs.columns, name
+        assert all(tuple(r)[5:] == tuple(range(len(names))) for r in out.collect()), name
+    assert len(corpus_pipeline.drop_exact_copies(spark, docs, folder[0]).collect()) == 6
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder[0]).count() == 14
