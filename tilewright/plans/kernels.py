@@ -108,17 +108,6 @@ def normalized_rings(spark: SparkSession, d: str) -> DataFrame:
     return _rows(geometry(spark, d).filter("closed"), resolve, "way long, shapes int, rings int, area2 long")
 
 
-@query()
-def convexity(spark: SparkSession, d: str) -> DataFrame:
-    """Whether each closed way is simple and convex."""
-
-    def judge(row):
-        ring = ring_of(row)
-        return [(row.way, K.is_simple(ring), K.is_convex(ring))]
-
-    return _rows(geometry(spark, d).filter("closed"), judge, "way long, simple boolean, convex boolean")
-
-
 @query()
 def point_on_surface(spark: SparkSession, d: str) -> DataFrame:
     """A label point inside each closed way that has an inside."""
