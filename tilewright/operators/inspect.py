@@ -232,6 +232,29 @@ def rings_dump(tiles: DataFrame, compression: int = GZIP) -> DataFrame:
     return tiles.select("tile_id", "payload").mapInArrow(read, "tile_id long, layer string, feature_id long, ring int, vertices int, area2 long, simple boolean")
 
 
+def ring_census(tiles: DataFrame, cap: int = RING_CAP, compression: int = GZIP) -> DataFrame:
+    """layer, polygons, rings, most, over: how many rings the polygons of tiles have, and how many of them more than ``cap``."""
+    rings = rings_dump(tiles, compression).groupBy("layer", "tile_id", "feature_id").agg(F.count(F.lit(1)).alias("rings"))
+    return rings.groupBy("layer").agg(F.count(F.lit(1)).alias("polygons"), F.sum("rings").alias("rings"), F.max("rings").alias("most"), F.count_if(F.col("rings") > cap).alias("over"))
+
+
+def repeated_segments(tiles: DataFrame, layer: str = "boundaries", compression: int = GZIP) -> DataFrame:
+    """tile_id, segments, repeated: segments of a layer's lines, either way round, and those that occur more than once."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for tile_id, payload in zip(batch.column("tile_id").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                lines = [part for f in mvt.decode(inflated(payload, compression), strict=False).get(layer, []) if f.kind == mvt.LINE for part in f.parts]
+                counts = Counter(tuple(sorted(s)) for part in lines for s in zip(part[:-1], part[1:], strict=True))
+                if counts:
+                    rows.append((tile_id, len(counts), sum(n > 1 for n in counts.values())))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["tile_id", "segments", "repeated"])
+
+    return tiles.select("tile_id", "payload").mapInArrow(read, "tile_id long, segments long, repeated long")
+
+
 def ring_table(tile: bytes) -> list[tuple[str, int, int, int, int, str, bool]]:
     """(layer, feature, ring, vertices, doubled area, turn, simple) of a tile's polygons."""
     rows = []

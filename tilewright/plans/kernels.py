@@ -230,6 +230,22 @@ def rings_dump(spark: SparkSession, d: str) -> DataFrame:
     return IN.rings_dump(local_tiles(spark, d)).drop("simple")
 
 
+@query(f"{LATTICE} SELECT 'land' AS layer, count(*) AS polygons, count(*)::BIGINT AS rings, 1::BIGINT AS most, 0::BIGINT AS over FROM g WHERE closed HAVING count(*) > 0")
+def ring_census(spark: SparkSession, d: str) -> DataFrame:
+    """Rings of the polygons of encoded tiles against the cap."""
+    return IN.ring_census(local_tiles(spark, d))
+
+
+@query(
+    f"""{LATTICE}, sg AS (SELECT c.tile_id, least(k, after) AS p, greatest(k, after) AS q FROM c JOIN g USING (way) WHERE NOT c.closed AND after IS NOT NULL AND after <> k
+), sc AS (SELECT tile_id, p, q, count(*) AS n FROM sg GROUP BY ALL)
+SELECT tile_id, count(*) AS segments, count(*) FILTER (WHERE n > 1) AS repeated FROM sc GROUP BY tile_id"""
+)
+def repeated_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Segments that the lines of a tile draw more than once."""
+    return IN.repeated_segments(local_tiles(spark, d), "streets")
+
+
 RING_EDGES = f"""{LATTICE}, r0 AS (
   SELECT way, k, pos, row_number() OVER (PARTITION BY way ORDER BY pos) - 1 AS i FROM c JOIN g USING (way) WHERE c.closed AND (before IS NULL OR before <> k)
 ), r AS (SELECT r0.way, i, k % 8 AS x, k // 8 AS y, points AS n FROM r0 JOIN g USING (way) WHERE i < points

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable
 from xml.sax.saxutils import quoteattr
 
@@ -37,3 +38,28 @@ def draw(tiles: dict[tuple[int, int], dict[str, list[Feature]]], layers: Iterabl
             out.append("</g>")
         out.append("</g>")
     return "".join([*out, "</svg>"])
+
+
+def render(tiles: dict[tuple[int, int], dict[str, list[Feature]]], style: dict[str, dict[str, object]], told: dict | None = None, size: int = 256) -> tuple[str, dict]:
+    """A picture of the layers that a style names, with its attributes, and a manifest: ``told``, features by layer, digest."""
+    columns, rows = (1 + max((k[i] for k in tiles), default=0) for i in (0, 1))
+    out = [f'<svg xmlns="http://www.w3.org/2000/svg" width="{columns * size}" height="{rows * size}" viewBox="0 0 {columns * EXTENT} {rows * EXTENT}">']
+    counts: dict[str, int] = {}
+    for (column, row), content in sorted(tiles.items()):
+        out.append(f'<g transform="translate({column * EXTENT},{row * EXTENT})">')
+        for layer, paint in style.items():  # in the style's order
+            features = content.get(layer, [])
+            counts[layer] = counts.get(layer, 0) + len(features)
+            paint = {"fill": "none"} | paint
+            out.append(f"<g id={quoteattr(layer)} " + " ".join(f"{k}={quoteattr(str(v))}" for k, v in paint.items()) + ">")
+            for f in features:
+                out += [f'<circle cx="{x}" cy="{y}" r="24"/>' for part in f.parts for x, y in part] if f.kind == POINT else [outline(f)]
+            out.append("</g>")
+        out.append("</g>")
+    picture = "".join([*out, "</svg>"])
+    return picture, (told or {}) | {"layers": counts, "tiles": len(tiles), "digest": hashlib.sha256(picture.encode()).hexdigest()}
+
+
+def outline(f: Feature) -> str:
+    path = "".join("M" + "L".join(f"{x} {y}" for x, y in part) + ("" if f.kind == LINE else "Z") for part in f.parts)
+    return f'<path d="{path}"' + (' fill="none"' if f.kind == LINE else "") + ' fill-rule="evenodd"/>'
