@@ -18,6 +18,7 @@ from tilewright.operators import archive as AR
 from tilewright.operators import build as BU
 from tilewright.operators import inspect as IN
 from tilewright.operators import ocean as OC
+from tilewright.operators import regress as RG
 from tilewright.plans import build as PB
 from tilewright.plans import oracles as O
 from tilewright.plans import tiles as T
@@ -246,6 +247,38 @@ def repeated_segments(spark: SparkSession, d: str) -> DataFrame:
     return IN.repeated_segments(local_tiles(spark, d), "streets")
 
 
+def local_archive(spark: SparkSession, tiles: DataFrame, name: str) -> DataFrame:
+    """Tiles written to an archive and read back as its runs."""
+    register(spark)
+    path = f"{files.scratch(spark, name)}/tiles.pmtiles"
+    AR.write(tiles.select("tile_id", "payload"), path, pmtiles.metadata(name))
+    return spark.read.format("pmtiles").load(path)
+
+
+ZOOM = "floor(log2(3 * tile_id + 1) / 2)::INT"
+
+
+@query(
+    f"""{LATTICE}, tl AS (SELECT tile_id, {ZOOM} AS z, bool_or(closed) AS land, bool_or(NOT closed) AS street, bool_or(closed AND area2 = 0) AS flat FROM g GROUP BY tile_id
+), fi AS (
+  SELECT 'undeclared attribute' AS finding, z, tile_id FROM tl
+  UNION ALL SELECT 'layer below its first zoom', z, tile_id FROM tl WHERE land AND z < 7 OR street AND z < 5
+  UNION ALL SELECT 'flat ring', z, tile_id FROM tl WHERE flat)
+SELECT finding, z, count(*) AS tiles, min(tile_id) AS first FROM fi GROUP BY finding, z"""
+)
+def verify_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of an archive whose tiles stand below their layers' zooms, with attributes that no layer declares."""
+    return IN.verify_table(local_archive(spark, local_tiles(spark, d), "verify"))
+
+
+@query(f"{LATTICE}, tl AS (SELECT DISTINCT tile_id, CASE WHEN closed THEN 'land' ELSE 'streets' END AS layer FROM g WHERE tile_id % 11 = 0) SELECT {ZOOM} AS z, layer, 'layer_removed' AS outcome, count(*) AS n FROM tl GROUP BY 1, 2")
+def regress_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Differences of two archives by zoom and layer; the second lacks every eleventh tile and packs the others anew."""
+    tiles = local_tiles(spark, d)
+    packed = RG.mutated(tiles.filter("tile_id % 11 <> 0"), "regzip", 7)
+    return RG.regress(local_archive(spark, tiles, "baseline"), local_archive(spark, packed, "current"))
+
+
 RING_EDGES = f"""{LATTICE}, r0 AS (
   SELECT way, k, pos, row_number() OVER (PARTITION BY way ORDER BY pos) - 1 AS i FROM c JOIN g USING (way) WHERE c.closed AND (before IS NULL OR before <> k)
 ), r AS (SELECT r0.way, i, k % 8 AS x, k // 8 AS y, points AS n FROM r0 JOIN g USING (way) WHERE i < points
