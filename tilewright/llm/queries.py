@@ -62,6 +62,12 @@ def llm_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
 
 
+def llm_held_out_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folds that op1 and op7 hold out, as their queries compute them."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("op1_held_out"), (crc_mod("doc_id", 5) == 0).alias("op7_held_out"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_source_mixing": op9_source_mixing,
     "op10_exact_dedup": op10_exact_dedup,
     "llm_url_rules": llm_url_rules,
+    "llm_held_out_folds": llm_held_out_folds,
 }
 
 OP10_SQL = r"""
@@ -191,4 +198,12 @@ WITH s AS (
 SELECT u.page_id, host, path, rule FROM u LEFT JOIN m ON u.page_id = m.page_id
 """
 
-ORACLES: dict[str, str] = {"llm_url_rules": URL_RULES_SQL, "op2_jaccard_join": OP2_SQL, "op5_warc_index": OP5_SQL, "op9_source_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL}
+FOLDS_SQL = """
+WITH c AS (  -- CRC-32, byte by byte and bit by bit
+  SELECT doc_id, xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT),
+    lambda crc, b: list_reduce(range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(crc, b)), 4294967295::BIGINT), 4294967295) AS crc FROM documents
+)
+SELECT doc_id, crc % 3 = 1 AS op1_held_out, crc % 5 = 0 AS op7_held_out FROM c
+"""
+
+ORACLES: dict[str, str] = {"llm_url_rules": URL_RULES_SQL, "llm_held_out_folds": FOLDS_SQL, "op2_jaccard_join": OP2_SQL, "op5_warc_index": OP5_SQL, "op9_source_mixing": OP9_SQL, "op10_exact_dedup": OP10_SQL}
