@@ -14,18 +14,18 @@ def components(edges: DataFrame) -> DataFrame:
     Large star: every node hangs its larger neighbours, itself counted, on its
     smallest; small star: the smaller ones.  Both keep the components and a
     linear number of edges, and a few alternations leave stars.  Neighbour lists
-    are never collected; the minimum of a list is an aggregate joined back, so
-    the many edges of a hub are spread by Spark's skew handling.  Edges with a
-    null end are ignored; an empty table gives an empty result.
+    are never collected; the minimum of a list is an aggregate, written first and
+    joined back, so that Spark's skew handling spreads the many edges of a hub.
+    Edges with a null end are ignored; an empty table gives an empty result.
     """
     tidy = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = cut(tidy.distinct())
     while not stars_only(now):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         # (larger neighbour, smallest of the centre)
         large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         now = cut(small.filter(F.col("a") != F.col("b")).distinct())
     leaves = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))

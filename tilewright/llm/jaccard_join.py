@@ -59,7 +59,7 @@ from tilewright.llm.components import components
 LEVELS = 6
 BLOCK = 256
 #: A word is hot for a reader from so many of its texts on, among SIGN_KEYS words or so.
-HOT, SIGN_KEYS = 64, 1 << 20
+HOT, SIGN_KEYS = 32, 1 << 17
 #: A run of more rows streams through its task.
 HELD = 100_000
 #: Nodes from here on stand for texts without an id.
@@ -260,7 +260,7 @@ def classes(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "node", "n_shingles", "s1", "s2"])
 
     told = cut(docs.mapInArrow(run, "doc_id long, node long, n_shingles long, s1 long, s2 long"))
-    first = told.filter("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("node").alias("rep"))
+    first = cut(told.filter("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("node").alias("rep")))  # so a hot set's rows can be split
     joined = told.join(first, ["s1", "s2", "n_shingles"], "left")
     return cut(joined.select("doc_id", "node", "n_shingles", F.coalesce("rep", "node").alias("rep")))
 
@@ -289,6 +289,9 @@ def runs(docs: DataFrame, words: int, percent: int) -> DataFrame:
         size = 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if size > SIGN_KEYS:
+                    yield from flush()
+                    size = 0
                 h = shingle_set(text.as_py(), words)
                 if not len(h):
                     continue
@@ -302,9 +305,6 @@ def runs(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 keys.append(k)
                 owners.append(node_of(doc_id, h))
                 size += len(k)
-            if size > SIGN_KEYS:
-                yield from flush()
-                size = 0
         if keys:
             yield from flush()
 
@@ -376,10 +376,14 @@ def packed(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            nodes = [i if i is not None else node_of(i, shingle_set(t, words)) for i, t in zip(ids, texts, strict=True)]
-            data = [zlib.compress((t or "").encode(), 1) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(data, pa.binary())], names=["node", "packed"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                nodes, data = [], []
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    text = text.as_py() or ""
+                    nodes.append(doc_id if doc_id is not None else node_of(None, shingle_set(text, words)))
+                    data.append(zlib.compress(text.encode(), 1))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(data, pa.binary())], names=["node", "packed"])
 
     return docs.mapInArrow(run, "node long, packed binary")
 
