@@ -35,7 +35,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -186,7 +186,7 @@ class Matcher:
         if item >= 0:
             yield item, low, high
 
-    def hits(self, texts: list[str | None]) -> list[list[Hit]]:
+    def hits(self, texts: Iterable[str | None]) -> list[list[Hit]]:
         """For each text the items that it holds, each at its best passage."""
         get = self.vocabulary.get
         out: list[list[Hit]] = []
@@ -236,7 +236,7 @@ def find(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                hits = shared.value.hits(batch.column(1).to_pylist())
+                hits = shared.value.hits(t.as_py() for t in batch.column(1))
                 out = [(d, shared.value.items[k][0], s, e, n) for d, hs in zip(batch.column(0).to_pylist(), hits, strict=True) for k, s, e, n in hs]
                 columns = zip(*out, strict=True) if out else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names=["doc_id", "item_id", "start", "distance", "item_words"])
@@ -253,7 +253,7 @@ def clean(docs: DataFrame, items: DataFrame, *, text_col: str = "text", **option
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = pa.array([not h for h in shared.value.hits(batch.column(at).to_pylist())], pa.bool_())
+                keep = pa.array([not h for h in shared.value.hits(t.as_py() for t in batch.column(at))], pa.bool_())
                 yield batch.filter(keep)
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -228,7 +228,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, *, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.score(words_of(t)) for t in batch.column(1).to_pylist()]
+            scores = [model.score(words_of(t.as_py())) for t in batch.column(1)]
             columns = [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "predicted"])
 
@@ -240,7 +240,7 @@ def sampled(docs: DataFrame, labels: DataFrame, sample: int, seed: int) -> tuple
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [" ".join(WORDS.findall((t or "").lower())) for t in batch.column(2).to_pylist()]
+            words = [" ".join(WORDS.findall((t.as_py() or "").lower())) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.string())], names=["doc_id", "label", "words"])
 
     wanted = labels.filter(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label"))
@@ -263,7 +263,7 @@ def keep_civil(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [model.score(words_of(t)) < 0.5 for t in batch.column(at).to_pylist()]
+            keep = [model.score(words_of(t.as_py())) < 0.5 for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
