@@ -48,13 +48,21 @@ def discard(folder: str) -> None:
         system.delete_dir(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Rows that a file of a table of known size has at least.
+FILE_ROWS = 20_000
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` computed once into a table in the shared folder and read from there, its lineage cut.
 
     All executors share the folder, so a lost executor costs nothing.  A table of
     columns is read with less memory and time than a checkpoint's rows are.
+    rows: an upper bound of the table's rows, where one is known; it saves tables of
+    few rows from being many files, and leaves tables of many rows as they are dealt.
     """
     path = scratch(df.sparkSession, "cut")
+    if rows is not None:
+        df = df.coalesce(max(8, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -92,7 +100,7 @@ def bitmap(keys: DataFrame, h: str) -> DataFrame:
     """
     place, bit = _place(F.col(h))
     words = keys.select(place.alias("place"), bit.alias("bit")).groupBy("place").agg(F.bit_or("bit").alias("mask"))
-    return cut(words)
+    return cut(words, 1 << 18)
 
 
 def marked(rows: DataFrame, h: Column, places: DataFrame, yes: bool = True) -> DataFrame:

@@ -19,15 +19,16 @@ def components(edges: DataFrame) -> DataFrame:
     Edges with a null end are ignored; an empty table gives an empty result.
     """
     tidy = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = cut(tidy.distinct())
+    rows = edges.count()
+    now = cut(tidy.distinct(), rows)
     while not stars_only(now):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), 2 * rows)
         # (larger neighbour, smallest of the centre)
         large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = cut(large.groupBy("a").agg(F.min("b").alias("m")))
+        low = cut(large.groupBy("a").agg(F.min("b").alias("m")), 2 * rows)
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        now = cut(small.filter(F.col("a") != F.col("b")).distinct())
+        now = cut(small.filter(F.col("a") != F.col("b")).distinct(), 2 * rows)
     leaves = now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     return leaves.union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 

@@ -260,9 +260,10 @@ def classes(docs: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "node", "n_shingles", "s1", "s2"])
 
     told = cut(docs.mapInArrow(run, "doc_id long, node long, n_shingles long, s1 long, s2 long"))
-    first = cut(told.filter("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("node").alias("rep")))  # so a hot set's rows can be split
+    rows = told.count()
+    first = cut(told.filter("n_shingles > 0").groupBy("s1", "s2", "n_shingles").agg(F.min("node").alias("rep")), rows)  # so a hot set's rows can be split
     joined = told.join(first, ["s1", "s2", "n_shingles"], "left")
-    return cut(joined.select("doc_id", "node", "n_shingles", F.coalesce("rep", "node").alias("rep")))
+    return cut(joined.select("doc_id", "node", "n_shingles", F.coalesce("rep", "node").alias("rep")), rows)
 
 
 def runs(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -412,7 +413,7 @@ def compared(work: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
         yield from close()
 
     key = ["grp", "x", "y"]
-    names = cut(work.select("node").distinct())
+    names = work.select("node").distinct()
     places = bitmap(names.select(F.xxhash64("node").alias("h")), "h")
     nameless = docs.filter("doc_id IS NULL").dropDuplicates(["text"])
     wanted = marked(docs.filter("doc_id IS NOT NULL"), F.xxhash64("doc_id"), places).union(nameless)
@@ -429,12 +430,13 @@ def found_links(docs: DataFrame, members: DataFrame, words: int, percent: int) -
     """(a, b): class representatives that links connect, enough to connect all that they do."""
     met = runs(docs, words, percent).join(members.select("node", "rep"), "node").select("run", F.col("rep").alias("node"))
     met = cut(met.distinct())
-    busy = cut(met.groupBy("node").agg(F.count(F.lit(1)).alias("n_runs")))
+    rows = met.count()
+    busy = cut(met.groupBy("node").agg(F.count(F.lit(1)).alias("n_runs")), rows)
     best = F.max(F.struct(F.col("n_runs"), (-F.col("node")).alias("minus")))
     anchor = met.join(busy, "node").groupBy("run").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    anchor = cut(anchor.select("run", (-F.col("best.minus")).alias("grp")))
-    grouped = cut(met.join(anchor, "run").select("grp", "node").distinct())
-    sizes = cut(grouped.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
+    anchor = cut(anchor.select("run", (-F.col("best.minus")).alias("grp")), rows)
+    grouped = cut(met.join(anchor, "run").select("grp", "node").distinct(), rows)
+    sizes = cut(grouped.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), rows)
 
     # each block with its anchor
     placed = grouped.join(sizes, "grp").filter("node <> grp").select("grp", block_of("blocks").alias("x"), "node")
@@ -443,25 +445,25 @@ def found_links(docs: DataFrame, members: DataFrame, words: int, percent: int) -
     found = compared(own, docs, words, percent)
 
     # runs of large groups that still hold several components
-    large = cut(anchor.join(sizes.filter("blocks > 1"), "grp").select("run", "grp"))
+    large = cut(anchor.join(sizes.filter("blocks > 1"), "grp").select("run", "grp"), rows)
     if large.isEmpty():
         return found
-    reached = cut(components(found))
+    reached = cut(components(found), rows)
     told = met.join(large, "run").join(reached.select("node", F.col("component")), "node", "left").select("run", "grp", "node", F.coalesce("component", "node").alias("component"))
     several = told.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("run")
-    rest = cut(told.join(several, "run").select("grp", "node", "component").distinct())
+    rest = cut(told.join(several, "run").select("grp", "node", "component").distinct(), rows)
     if rest.isEmpty():
         return found
     # blocks of one component where it fills them, else mixed ones
     parts = rest.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n"))
     pure = F.col("n") > BLOCK
     mixed_n = F.sum(F.when(~pure, F.col("n"))).alias("mixed_n")
-    parts = cut(parts.join(parts.groupBy("grp").agg(mixed_n), "grp"))
+    parts = cut(parts.join(parts.groupBy("grp").agg(mixed_n), "grp"), rows)
     blocks = F.when(pure, F.ceil(F.col("n") / BLOCK)).otherwise(F.ceil(F.col("mixed_n") / BLOCK)).cast("int")
     dealt = rest.join(parts.withColumn("pure", pure).withColumn("blocks", blocks), ["grp", "component"])
     of = F.when(F.col("pure"), F.col("component")).otherwise(F.lit(None).cast("long"))
-    dealt = cut(dealt.select("grp", "node", "component", F.struct(of.alias("of"), block_of("blocks").alias("part")).alias("block")))
-    listed = cut(dealt.select("grp", "block").distinct())
+    dealt = cut(dealt.select("grp", "node", "component", F.struct(of.alias("of"), block_of("blocks").alias("part")).alias("block")), rows)
+    listed = cut(dealt.select("grp", "block").distinct(), rows)
     pairs = listed.select("grp", F.col("block").alias("x")).join(listed.select("grp", F.col("block").alias("y")), "grp")
     pairs = pairs.filter((F.col("x") <= F.col("y")) & (F.col("x.of").isNull() | ~F.col("x.of").eqNullSafe(F.col("y.of"))))
     left = dealt.join(pairs.withColumnRenamed("x", "block"), ["grp", "block"]).select("grp", F.col("block").alias("x"), "y", F.lit(0).alias("side"), "node", "component")
