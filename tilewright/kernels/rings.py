@@ -129,7 +129,11 @@ def label_point(shapes: Sequence[Sequence[Sequence[Point]]], how: str = "surface
         return None
     largest = max(shapes, key=lambda s: abs(area2(s[0])))
     if how == "centroid" or how == "convex" and len(shapes) == len(largest) == 1 and is_convex(largest[0]):
-        return area_and_centroid(shapes)[1]
+        p = area_and_centroid(shapes)[1]
+        xs, ys = ([q[i] for s in shapes for q in s[0]] for i in (0, 1))
+        # lobes of a ring that crosses itself may cancel, and leave a centroid far away
+        if p is not None and min(xs) <= p[0] <= max(xs) and min(ys) <= p[1] <= max(ys):
+            return p
     return point_with_holes(largest)
 
 
