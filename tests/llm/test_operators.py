@@ -151,6 +151,27 @@ def test_large_groups_and_hot_words_lose_no_link(spark, monkeypatch, block, hot,
     assert got == brute_components(rows, 4, 85)
 
 
+@pytest.mark.parametrize("sieve", [4096, 9])
+def test_classes_that_share_a_frequent_shingle_alone_send_no_texts(spark, monkeypatch, sieve):
+    """A line that all texts hold makes runs of many that don't link; texts travel for those that may."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 4)
+    monkeypatch.setattr(jaccard_join, "SIEVE", sieve, raising=False)
+    sent, compared = [], jaccard_join.compared
+
+    def counted(work, *rest):
+        sent.append(work.count())
+        return compared(work, *rest)
+
+    monkeypatch.setattr(jaccard_join, "compared", counted)
+    line = words(12, 1)
+    texts = [line + words(30, 100 + k, 9000) for k in range(120)]
+    texts += [near(texts[k], 1, k) for k in (3, 50, 51)]
+    rows = [(k * 7 % 127, " ".join(t)) for k, t in enumerate(texts)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), words=5, percent=80).collect()}
+    assert got == brute_components(rows, 5, 80)
+    assert sum(sent) <= 10, sent
+
+
 def test_rows_without_an_id_link_too(spark):
     a, c = words(60, 1), words(60, 2)
     rows = [(None, a), (4, [*a, "x"]), (5, ["y", *a]), (None, a), (None, c), (None, [*c, "z"]), (9, words(60, 3)), (9, near(c, 0, 1) + ["q"])]

@@ -19,18 +19,23 @@ least ``percent`` * |A or B|, which bounds |A xor B| by a share of |A| + |B|.
    word's own task to name the run alike.  No task gathers a hot word.
 4. A run goes to its anchor, the member that is in most runs, so the many runs
    of a group of near copies go to a few anchors, each class once to each.
-   Classes of one anchor are compared in blocks of ``BLOCK``, the anchor in each,
-   a task's work in bounded memory.  A group of one block is done with that; of
-   the others only runs that still hold several components go on, and there
-   blocks of one component don't meet each other.  So a group of n near copies
-   of its anchor costs n texts, not n * n / BLOCK.
-5. In a task one-bit parity sketches are compared first: their Hamming distance
-   is at most |A xor B|.  What remains is verified on the full sets, unless
-   links already found connect the two.
+   Classes that share no more than a frequent shingle alone in its word make
+   large groups, too.  So what a group's members first send each other, in blocks
+   of ``SIEVE``, is a one-bit parity sketch of 256 bytes: its Hamming distance is
+   at most |A xor B|.  Pairs that pass give components of kin, and a class that
+   is kin to none is done with.
+5. Only kin send texts.  Kin of up to ``BLOCK`` classes are one task's work and
+   send each text once.  Of larger kin the runs go to their anchors again and
+   are compared in blocks of ``BLOCK``, the anchor in each; a group of one block
+   is done with that; of the others only runs that still hold several components
+   go on, and there blocks of one component don't meet each other.  So a group of
+   n near copies of its anchor costs n texts, not n * n / BLOCK.  In a task what
+   the sketches leave is verified on the full sets, unless links already found
+   connect the two.
 6. The links, at most one a class in each comparison, give the components.
 
 No link that would change a component is lost.  Texts travel deflated, and only
-those of classes in a run: a bitmap of at most 2^20 rows tells them.
+those of kin: a bitmap of at most 2^20 rows tells them.
 
 Edge cases: null and empty texts and texts of white space have no shingle and
 stand alone; a text with fewer words than a shingle is one shingle; a row with a
@@ -58,6 +63,8 @@ from tilewright.llm.components import components
 
 LEVELS = 6
 BLOCK = 256
+#: Sketches that one task compares with each other.
+SIEVE = 4096
 #: A word is hot for a reader from so many of its texts on, among SIGN_KEYS words or so.
 HOT, SIGN_KEYS = 32, 1 << 17
 #: A run of more rows streams through its task.
@@ -236,6 +243,27 @@ def compare(ids: list[int], sets: list[np.ndarray], sides: list[int], known: lis
     return [(ids[k], ids[find(k)]) for k in range(len(ids)) if find(k) != k]
 
 
+def alike(nodes: np.ndarray, size: np.ndarray, sketch: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs that connect all members whose sketches don't tell that they can't link, fewer than members; sides as in compare()."""
+    order = np.argsort(size, kind="stable")
+    nodes, size, sketch, side = nodes[order], size[order], sketch[order], side[order]
+    across = bool(side.any())
+    label = np.arange(len(nodes))
+    ends = np.searchsorted(size, size * 100 // percent, side="right")
+    out = []
+    for i in range(len(nodes) - 1):
+        j = np.arange(i + 1, ends[i])
+        j = j[label[j] != label[i]]
+        if across:
+            j = j[side[j] != side[i]]
+        bound = (100 - percent) * (size[j] + size[i]) // (100 + percent)
+        for k in j[np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1) <= bound].tolist():
+            if label[k] != label[i]:
+                out.append((int(nodes[i]), int(nodes[k])))
+                label[label == label[k]] = label[i]
+    return out
+
+
 def fingerprint(h: np.ndarray) -> tuple[int, int]:
     """Two 64-bit numbers that depend on the set alone."""
     one = int(mixed(h).sum(dtype=U)) - (1 << 63)
@@ -389,6 +417,61 @@ def packed(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, packed binary")
 
 
+def wanted(docs: DataFrame, work: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the nodes of ``work`` stand for, and few others."""
+    names = work.select("node").distinct()
+    places = bitmap(names.select(F.xxhash64("node").alias("h")), "h")
+    nameless = docs.filter("doc_id IS NULL").dropDuplicates(["text"])
+    return marked(docs.filter("doc_id IS NOT NULL"), F.xxhash64("doc_id"), places).union(nameless)
+
+
+def sketched(docs: DataFrame, words: int) -> DataFrame:
+    """node, size, sketch: the number of shingles and the parity sketch of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = shingle_set(text.as_py(), words)
+                rows.append((node_of(doc_id, h), len(h), parity_sketch(h).tobytes()))
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
+            kinds = pa.int64(), pa.int64(), pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["node", "size", "sketch"])
+
+    return docs.mapInArrow(run, "node long, size long, sketch binary")
+
+
+def kin(grouped: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b): enough pairs to connect all members of a group (grp, node) that may link by their sketches."""
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at: tuple | None = None
+        held: set[tuple] = set()  # node, size, sketch, side; a row repeated under one id counts once
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(held) < 2:
+                return
+            node, size, sketch, side = zip(*sorted(held), strict=True)
+            bits = np.frombuffer(b"".join(sketch), dtype=U).reshape(len(node), SKETCH_WORDS)
+            if found := alike(np.array(node), np.array(size), bits, np.array(side), percent):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+        for batch in batches:
+            for *key, side, node, size, sketch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if tuple(key) != at:
+                    yield from close()
+                    at, held = tuple(key), set()
+                held.add((node, size, sketch, side))
+        yield from close()
+
+    key = ["grp", "x", "y"]
+    parts = grouped.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / SIEVE).cast("int").alias("parts"))
+    own = grouped.join(parts, "grp").select("grp", "node", block_of("parts").alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    met = own.select("grp", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node")
+    with_sketch = met.join(sketched(wanted(docs, grouped), words), "node").select(*key, "side", "node", "size", "sketch")
+    return cut(with_sketch.repartition(*key).sortWithinPartitions(*key).mapInArrow(sift, "a long, b long"))
+
+
 def compared(work: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b): links found; work: grp, x, y, side, node, component, of which each (grp, x, y) is compared."""
 
@@ -413,11 +496,7 @@ def compared(work: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
         yield from close()
 
     key = ["grp", "x", "y"]
-    names = work.select("node").distinct()
-    places = bitmap(names.select(F.xxhash64("node").alias("h")), "h")
-    nameless = docs.filter("doc_id IS NULL").dropDuplicates(["text"])
-    wanted = marked(docs.filter("doc_id IS NOT NULL"), F.xxhash64("doc_id"), places).union(nameless)
-    with_text = work.join(packed(wanted, words), "node").select(*key, "side", "component", "node", "packed")
+    with_text = work.join(packed(wanted(docs, work), words), "node").select(*key, "side", "component", "node", "packed")
     ordered = with_text.repartition(*key).sortWithinPartitions(*key)
     return cut(ordered.mapInArrow(check, "a long, b long"))
 
@@ -426,16 +505,36 @@ def block_of(parts: str) -> Column:
     return F.expr(f"cast(pmod(xxhash64(node), {parts}) as int)")
 
 
+def anchored(met: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(run, grp) and the distinct (grp, node): the runs of ``met`` go to their anchors."""
+    busy = cut(met.groupBy("node").agg(F.count(F.lit(1)).alias("n_runs")), rows)
+    best = F.max(F.struct(F.col("n_runs"), (-F.col("node")).alias("minus")))
+    anchor = met.join(busy, "node").groupBy("run").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    anchor = cut(anchor.select("run", (-F.col("best.minus")).alias("grp")), rows)
+    return anchor, cut(met.join(anchor, "run").select("grp", "node").distinct(), rows)
+
+
 def found_links(docs: DataFrame, members: DataFrame, words: int, percent: int) -> DataFrame:
     """(a, b): class representatives that links connect, enough to connect all that they do."""
     met = runs(docs, words, percent).join(members.select("node", "rep"), "node").select("run", F.col("rep").alias("node"))
     met = cut(met.distinct())
     rows = met.count()
-    busy = cut(met.groupBy("node").agg(F.count(F.lit(1)).alias("n_runs")), rows)
-    best = F.max(F.struct(F.col("n_runs"), (-F.col("node")).alias("minus")))
-    anchor = met.join(busy, "node").groupBy("run").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    anchor = cut(anchor.select("run", (-F.col("best.minus")).alias("grp")), rows)
-    grouped = cut(met.join(anchor, "run").select("grp", "node").distinct(), rows)
+    _, grouped = anchored(met, rows)
+    related = cut(components(kin(grouped, docs, words, percent)), rows)
+    counts = related.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+    related = cut(related.join(counts, "component"), rows)
+    own = related.filter(F.col("n") <= BLOCK).select(F.col("component").alias("grp"), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("side"), "node", F.col("node").alias("component"))
+    found = compared(own, docs, words, percent)
+    large = related.filter(F.col("n") > BLOCK).select("node", "component")
+    if large.isEmpty():
+        return found
+    shared = cut(met.join(large, "node").select(F.xxhash64("run", "component").alias("run"), "node"), rows)
+    return found.union(links_of_large(shared, rows, docs, words, percent))
+
+
+def links_of_large(met: DataFrame, rows: int, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The links among kin of more than a block; met: their runs, of one kin each."""
+    anchor, grouped = anchored(met, rows)
     sizes = cut(grouped.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), rows)
 
     # each block with its anchor
