@@ -172,6 +172,26 @@ def test_classes_that_share_a_frequent_shingle_alone_send_no_texts(spark, monkey
     assert sum(sent) <= 10, sent
 
 
+def test_sketches_tell_long_sets_apart_and_keep_all_links():
+    """Sizes on both sides of the sketches' widths."""
+    draw = np.random.default_rng(2)
+    sets = []
+    for n in (300, 2000, 2100, 4000, 4200, 9000, 20000):
+        a = np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64))
+        cut = a[: len(a) * 9 // 10]
+        sets += [a, cut, np.unique(np.concatenate((a, draw.integers(0, 1 << 63, n // 10, dtype=np.uint64)))), np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64))]
+    sketches = [jaccard_join.long_sketch(h).tobytes() for h in sets]
+    for sides in ([0] * len(sets), [k % 2 for k in range(len(sets))]):
+        found = jaccard_join.alike(list(range(len(sets))), [len(h) for h in sets], sketches, sides, 80)
+        linked = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if sides[a] != sides[b] or not any(sides) if jaccard_join.links(sets[a], sets[b], 80)]
+        assert linked and {frozenset((a // 4, b // 4)) for a, b in found} == {frozenset((a // 4, b // 4)) for a, b in linked}
+        parent = list(range(len(sets)))
+        for a, b in found:
+            parent = [parent[a] if x == parent[b] else x for x in parent]
+        assert all(parent[a] == parent[b] for a, b in linked)
+        assert not any(k % 4 == 3 for pair in found for k in pair)
+
+
 def test_rows_without_an_id_link_too(spark):
     a, c = words(60, 1), words(60, 2)
     rows = [(None, a), (4, [*a, "x"]), (5, ["y", *a]), (None, a), (None, c), (None, [*c, "z"]), (9, words(60, 3)), (9, near(c, 0, 1) + ["q"])]

@@ -21,8 +21,8 @@ least ``percent`` * |A or B|, which bounds |A xor B| by a share of |A| + |B|.
    of a group of near copies go to a few anchors, each class once to each.
    Classes that share no more than a frequent shingle alone in its word make
    large groups, too.  So what a group's members first send each other, in blocks
-   of ``SIEVE``, is a one-bit parity sketch of 256 bytes: its Hamming distance is
-   at most |A xor B|.  Pairs that pass give components of kin, and a class that
+   of ``SIEVE``, is a one-bit parity sketch of 256 bytes, more for long texts: its
+   Hamming distance is at most |A xor B|.  Pairs that pass give components of kin, and a class that
    is kin to none is done with.
 5. Only kin send texts.  Kin of up to ``BLOCK`` classes are one task's work and
    send each text once.  Of larger kin the runs go to their anchors again and
@@ -74,6 +74,8 @@ NAMELESS = 1 << 62
 #: Kinds of rows of a sketch word, in the order of their sorting.
 DIRECT, MARK, COLD = np.arange(3, dtype=np.int8)
 SKETCH_WORDS = 32
+#: Places of the sketches that are sent, a power of two and no fewer than shingles up to the largest.
+LEAST_PLACES, MOST_PLACES = 1 << 11, 1 << 16
 U = np.uint64
 MASK = (1 << 64) - 1
 BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -194,6 +196,19 @@ def parity_sketch(h: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8)).view(U)
 
 
+def places_of(n: int) -> int:
+    """The places of the sketch that a set of ``n`` shingles sends."""
+    return min(max(LEAST_PLACES, 1 << max(n - 1, 0).bit_length()), MOST_PLACES)
+
+
+def long_sketch(h: np.ndarray) -> np.ndarray:
+    """Words of 64 bits of a sketch of places_of() places; XORing its halves gives the sketch of half the places."""
+    n = places_of(len(h))
+    bit = mixed(h + U(0x589965CC75374CC3)) & U(n - 1)
+    parity = np.bincount(bit.astype(np.int64), minlength=n) & 1
+    return np.packbits(parity.astype(np.uint8)).view(U)
+
+
 def links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     both = np.concatenate((a, b))
     both.sort(kind="stable")
@@ -243,24 +258,30 @@ def compare(ids: list[int], sets: list[np.ndarray], sides: list[int], known: lis
     return [(ids[k], ids[find(k)]) for k in range(len(ids)) if find(k) != k]
 
 
-def alike(nodes: np.ndarray, size: np.ndarray, sketch: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def alike(nodes: list[int], sizes: list[int], sketches: list[bytes], sides: list[int], percent: int) -> list[tuple[int, int]]:
     """Pairs that connect all members whose sketches don't tell that they can't link, fewer than members; sides as in compare()."""
-    order = np.argsort(size, kind="stable")
-    nodes, size, sketch, side = nodes[order], size[order], sketch[order], side[order]
+    order = sorted(range(len(nodes)), key=sizes.__getitem__)
+    node, size, side = (np.array(c)[order] for c in (nodes, sizes, sides))
     across = bool(side.any())
-    label = np.arange(len(nodes))
+    label = np.arange(len(node))
     ends = np.searchsorted(size, size * 100 // percent, side="right")
+    width = np.array([len(sketches[k]) // 8 for k in order])  # no less than that of a smaller set
     out = []
-    for i in range(len(nodes) - 1):
-        j = np.arange(i + 1, ends[i])
-        j = j[label[j] != label[i]]
-        if across:
-            j = j[side[j] != side[i]]
-        bound = (100 - percent) * (size[j] + size[i]) // (100 + percent)
-        for k in j[np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1) <= bound].tolist():
-            if label[k] != label[i]:
-                out.append((int(nodes[i]), int(nodes[k])))
-                label[label == label[k]] = label[i]
+    for w in np.unique(width).tolist():
+        first, last = np.searchsorted(width, w), np.searchsorted(width, w, side="right")
+        top = int(ends[last - 1])  # partners of this width or more, which are folded to it
+        own = [np.frombuffer(sketches[k], dtype=U).reshape(-1, w) for k in order[first:top]]
+        sketch = np.stack([np.bitwise_xor.reduce(x, axis=0) for x in own])
+        for i in range(first, last):
+            j = np.arange(i + 1, ends[i])
+            j = j[label[j] != label[i]]
+            if across:
+                j = j[side[j] != side[i]]
+            bound = (100 - percent) * (size[j] + size[i]) // (100 + percent)
+            for k in j[np.bitwise_count(sketch[j - first] ^ sketch[i - first]).sum(axis=1) <= bound].tolist():
+                if label[k] != label[i]:
+                    out.append((int(node[i]), int(node[k])))
+                    label[label == label[k]] = label[i]
     return out
 
 
@@ -433,7 +454,7 @@ def sketched(docs: DataFrame, words: int) -> DataFrame:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h = shingle_set(text.as_py(), words)
-                rows.append((node_of(doc_id, h), len(h), parity_sketch(h).tobytes()))
+                rows.append((node_of(doc_id, h), len(h), long_sketch(h).tobytes()))
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 3
             kinds = pa.int64(), pa.int64(), pa.binary()
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["node", "size", "sketch"])
@@ -452,8 +473,7 @@ def kin(grouped: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFr
             if len(held) < 2:
                 return
             node, size, sketch, side = zip(*sorted(held), strict=True)
-            bits = np.frombuffer(b"".join(sketch), dtype=U).reshape(len(node), SKETCH_WORDS)
-            if found := alike(np.array(node), np.array(size), bits, np.array(side), percent):
+            if found := alike(node, size, sketch, side, percent):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
         for batch in batches:
