@@ -3,8 +3,14 @@
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 
 from tilewright import catalog
+from tilewright import schema as S
+from tilewright.kernels import batches as KB
+from tilewright.operators import build as BU
+from tilewright.sources import mvt
 
 
 def test_merged_slot_is_the_least_with_part_keys_over_a_million(spark, tmp_path):
@@ -16,3 +22,29 @@ def test_merged_slot_is_the_least_with_part_keys_over_a_million(spark, tmp_path)
     names = [c[0] for c in told.description]
     got = catalog.QUERIES["same_attr_merge"](spark, str(tmp_path)).select(*names).collect()
     assert Counter(map(tuple, got)) == Counter(told.fetchall())
+
+
+def test_lines_of_a_batch_are_drawn_as_one_by_one_and_dealt_in_lots():
+    rng = np.random.default_rng(5)
+    lines = []
+    for k in range(60):
+        n = int(rng.choice([1, 2, 3, 4, 7, 20, 30]))
+        p = rng.random(2) * 1.2 - 0.1 + rng.integers(-8, 8, (n, 2)) * 10.0 ** -rng.integers(4, 7)
+        lines.append(np.concatenate((p, p[:1])) if k % 3 == 0 else np.repeat(p, 2, axis=0) if k % 5 == 0 else p)
+    pins = [rng.random(len(p)) < 0.2 for p in lines]
+    matches = [[{"layer": S.LAYER_ID[name], "min_zoom": z, "paint_rank": 1, "geom": "own", "attrs": [{"key": "kind", "from_zoom": f, "value": "a"} for f in (0, 11)]} for name, z in (("streets", k % 15), ("ferries", 9))[k % 3 :]] for k in range(60)]
+    rows = [{"id": k, "closed": False, "xs": p[:, 0].tolist(), "ys": p[:, 1].tolist(), "pins": pins[k].tolist(), "matches": matches[k]} for k, p in enumerate(lines) if matches[k]]
+    match = pa.struct([("layer", pa.int32()), ("min_zoom", pa.int32()), ("paint_rank", pa.int32()), ("geom", pa.string()), ("attrs", pa.list_(pa.struct([("key", pa.string()), ("from_zoom", pa.int32()), ("value", pa.string())])))])
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([("id", pa.int64()), ("closed", pa.bool_()), ("xs", pa.list_(pa.float64())), ("ys", pa.list_(pa.float64())), ("pins", pa.list_(pa.bool_())), ("matches", pa.list_(match))]))
+    emitter = BU.Emitter(BU.Options())
+    one = Counter((*f[:7], tuple(f[7])) for row in rows for f in emitter.way(row))
+    got = Counter((*f[:7], tuple(f[7])) for b in BU.line_batches(batch, BU.Options()) for f in zip(*(b.column(c).to_pylist() for c in BU.FEATURE_NAMES), strict=True))
+    assert got == one and len(one) > 1000
+    x, offsets = np.tile([0.1, 0.9], 50), np.arange(0, 101, 2)
+    assert all(b - a == 1 or (b - a) * 2 << KB.MAX_ZOOM <= KB.BUDGET for a, b in KB.lots(x, x, offsets))
+
+
+def test_queries_of_one_kind_leave_the_other_kinds_undrawn(spark):
+    found = spark.createDataFrame([(1, S.LAYER_ID["streets"], "own"), (2, S.LAYER_ID["land"], "own"), (3, S.LAYER_ID["land"], "line"), (4, S.LAYER_ID["sites"], "label")], "id long, layer int, geom string")
+    ids = {kind: sorted(r["id"] for r in BU.drawing(found, kind).collect()) for kind in (mvt.POINT, mvt.LINE, mvt.POLYGON)}
+    assert ids == {mvt.POINT: [4], mvt.LINE: [1, 3], mvt.POLYGON: [2]}
