@@ -6,11 +6,14 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 
+from tilewright import bridge as B
 from tilewright import catalog
 from tilewright import schema as S
 from tilewright.kernels import batches as KB
+from tilewright.kernels import lines as L
+from tilewright.kernels import polygons as P
 from tilewright.operators import build as BU
-from tilewright.sources import mvt
+from tilewright.sources import files, mvt
 
 
 def test_merged_slot_is_the_least_with_part_keys_over_a_million(spark, tmp_path):
@@ -48,3 +51,29 @@ def test_queries_of_one_kind_leave_the_other_kinds_undrawn(spark):
     found = spark.createDataFrame([(1, S.LAYER_ID["streets"], "own"), (2, S.LAYER_ID["land"], "own"), (3, S.LAYER_ID["land"], "line"), (4, S.LAYER_ID["sites"], "label")], "id long, layer int, geom string")
     ids = {kind: sorted(r["id"] for r in BU.drawing(found, kind).collect()) for kind in (mvt.POINT, mvt.LINE, mvt.POLYGON)}
     assert ids == {mvt.POINT: [4], mvt.LINE: [1, 3], mvt.POLYGON: [2]}
+
+
+def test_python_holds_slices_of_a_batch():
+    batch = pa.RecordBatch.from_pydict({"a": list(range(1000))})
+    sizes = [b.num_rows for b in files.slices(iter([batch, batch]))]
+    assert max(sizes) == 256 and sum(sizes) == 2000
+
+
+def test_tasks_grow_in_number_and_not_in_size(spark):
+    rows = spark.range(1000).withColumnRenamed("id", "way")
+    partitions = lambda size: B.dealt(rows, "way", size, task=1000).rdd.getNumPartitions()
+    assert partitions(60_000) == 60 and partitions(6_000) == 6
+    assert partitions(1_000) == rows.rdd.getNumPartitions()
+
+
+def test_one_measure_tells_the_vertices_that_every_tolerance_keeps():
+    rng = np.random.default_rng(8)
+    for k in range(120):
+        p = rng.random(2) + rng.integers(-6, 6, (int(rng.choice([1, 2, 3, 5, 9, 24, 40])), 2)) / 10.0 ** rng.integers(1, 5)
+        closed = k % 2 == 0 and len(p) > 2
+        p = np.concatenate((p, p[:1])) if closed else p
+        pins = rng.random(len(p)) < 0.15
+        walked = KB.chains(p[:, 0].copy(), p[:, 1].copy(), pins, np.array([0, len(p)]), np.array([closed]))
+        for z in range(0, 14, 2):
+            told = (L.simplify_closed if closed else L.simplify)(p, P.grid_tolerance(z), pins)
+            assert walked.at[walked.over > P.grid_tolerance(z) ** 2].tolist() == told.tolist()
